@@ -13,7 +13,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_simhash_components": op6_simhash_components,
     "op5_quality_rules": op5_quality_rules,
 }
 ORACLES: dict[str, str] = {}
