@@ -4,9 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from drumlin.llm import oracles
 from drumlin.llm.common import table
 
 
+def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.chat import digests, events_of, format_conversations, with_probe
+
+    return digests(format_conversations(events_of(with_probe(table(spark, sf_dir, "conversations")))))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from drumlin.llm.quality import quality_rules
 
@@ -20,7 +33,9 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_karmarkar_karp": op3_karmarkar_karp,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_simhash_components": op6_simhash_components,
     "op5_quality_rules": op5_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat_formatting": oracles.CHAT}
