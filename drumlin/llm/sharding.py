@@ -6,12 +6,13 @@ partial partitions, tuples of `shards` sums. It takes the two with the largest s
 adds them oppositely ordered, the largest sum of one on the smallest of the other, until
 one is left.
 
-A heap of all groups doesn't fit one task, so it runs as a tree: the groups are dealt to
-blocks of about `block` by their hash, each block is differenced to one tuple, and the
-tuples are differenced again, `block` at a time, until one block holds them all. A block
-reports which of its bins each of its items' bins went to; read downwards, that is the
-shard of each group. The spread of a block's tuple is that of differencing, far under one
-document, so the tree costs no balance that counts.
+A heap of all groups doesn't fit one task, so the groups under a `grain`-th of all bytes
+are bundled by their hash into at most `grain` lumps; the others, at most `grain` too, stay
+items of their own. Differencing runs over these at most 2 * grain items, whatever the
+input's size, on the driver. A small group never leaves its lump and a lump never its
+shard, so no group is cut. The lumps differ in size, so the spread that is left is that of
+differencing thousands of items: bytes, not lumps. Where there are fewer groups than
+lumps, most groups are alone in theirs.
 
 Slots number the rows of a shard without gaps: rows are counted by (shard, sub-bucket),
 and a row's slot is the count of the sub-buckets before its own plus its rank in it.
@@ -24,9 +25,7 @@ Extra columns are kept unless they bear the name of a result column."""
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,44 +79,28 @@ def _sizes(text: str) -> dict[str, Column]:
     return {"size": (F.octet_length(value) + 1).cast("long"), "text_crc32": F.crc32(value)}
 
 
-def _run_blocks(items: DataFrame, shards: int) -> DataFrame:
-    """Differences each block of (block, item, sums): rows (block, item, bins, sums); sums
-    is the block's result and stands on its first item only."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("item")
-        bins, sums = differencing([tuple(int(v) for v in x) for x in frame["sums"]])
-        return pd.DataFrame({"block": frame["block"], "item": frame["item"], "bins": bins, "result": [sums] + [None] * (len(bins) - 1)})
-
-    return items.groupBy("block").applyInPandas(run, "block long, item string, bins array<int>, result array<long>")
-
-
-def assign_groups(groups: DataFrame, shards: int, block: int = 2_000) -> DataFrame:
-    """(item, shard) for groups (item string, bytes long) with distinct items."""
-    n = groups.count()
-    if not n:
-        return groups.select("item", F.lit(0).alias("shard"))
-    blocks = max(1, -(-n // block))
-    first = F.array(*[F.lit(0).cast("long")] * (shards - 1), F.col("bytes"))
-    items = groups.select(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block"), "item", first.alias("sums"))
-    levels = []
-    while True:
-        done = materialize(_run_blocks(items, shards), "differenced")
-        levels.append(done)
-        if blocks == 1:
-            break
-        tops = done.where("result is not null")
-        blocks = max(1, -(-blocks // block))
-        items = tops.select(F.pmod(F.xxhash64("block"), F.lit(blocks)).alias("block"), F.col("block").cast("string").alias("item"), F.col("result").alias("sums"))
-    # A leaf's largest bin holds its bytes; its way up is the bins of the blocks above it.
-    lower = levels[0].select("item", F.col("block").alias("__at"), F.get("bins", F.lit(shards - 1)).alias("__bin"))
-    for level in levels[1:]:
-        above = level.select(F.col("item").cast("long").alias("__at"), F.col("block").alias("__next"), F.col("bins").alias("__bins"))
-        lower = lower.join(above, "__at").select("item", F.col("__next").alias("__at"), F.get("__bins", F.col("__bin")).alias("__bin"))
-    return lower.select("item", F.col("__bin").cast("int").alias("shard"))
-
-
-def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text: str = "text", block: int = 2_000, rows_per_bucket: int = 20_000) -> DataFrame:
+def assign_groups(groups: DataFrame, shards: int, grain: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """Two tables of at most `grain` rows each: (item, shard) for the large groups and
+    (lump, shard) for the others, from groups (item string, bytes long)."""
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    large = groups.where(F.col("bytes") * grain >= total)
+    lumps = groups.where(F.col("bytes") * grain < total).groupBy(lump_of("item", grain).alias("lump")).agg(F.sum("bytes").alias("bytes"))
+    items = [(r.item, None, r.bytes) for r in large.collect()] + [(None, r.lump, r.bytes) for r in lumps.collect()]
+    items.sort(key=lambda x: (x[2], x[0] or "", x[1] or 0))
+    bins = differencing([(*[0] * (shards - 1), x[2]) for x in items])[0] if items else []
+    placed = [(*x[:2], b[-1]) for x, b in zip(items, bins, strict=True)]
+    spark = groups.sparkSession
+    return (
+        spark.createDataFrame([(item, shard) for item, _, shard in placed if item is not None], "item string, shard int"),
+        spark.createDataFrame([(lump, shard) for item, lump, shard in placed if item is None], "lump long, shard int"),
+    )
+
+
+def lump_of(item: str, grain: int) -> Column:
+    return F.pmod(F.xxhash64(item), F.lit(grain)).cast("long")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text: str = "text", grain: int = 4096, rows_per_bucket: int = 20_000) -> DataFrame:
     """`docs` with size, text_crc32, law, shard, slot and grown_shard; the text goes.
 
     A group is known by the SHA-256 of its text. grown_shard is null: under this law one
@@ -126,11 +109,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(k) for k, c in _sizes(text).items()), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256).alias("__group"))
     rows = materialize(rows, "sized")
     groups = materialize(rows.groupBy(F.col("__group").alias("item")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    placed = assign_groups(groups.select("item", "bytes"), shards, block).withColumnRenamed("item", "__group")
+    large, lumps = assign_groups(groups.select("item", "bytes"), shards, grain)
     n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-n // rows_per_bucket))
     bucket = F.pmod(F.xxhash64(f"`{id_col}`", "text_crc32", "size", F.spark_partition_id()), F.lit(buckets))
-    placed = materialize(rows.withColumn("__bucket", bucket).join(placed, "__group"), "placed")
+    dealt = rows.withColumns({"__bucket": bucket, "__lump": lump_of("__group", grain)})
+    dealt = dealt.join(F.broadcast(large.select(F.col("item").alias("__group"), F.col("shard").alias("__large"))), "__group", "left")
+    dealt = dealt.join(F.broadcast(lumps.select(F.col("lump").alias("__lump"), F.col("shard").alias("__small"))), "__lump", "left")
+    placed = materialize(dealt.withColumn("shard", F.coalesce("__large", "__small")).drop("__lump", "__large", "__small"), "placed")
     counts = placed.groupBy("shard", "__bucket").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.select("shard", "__bucket", "__before")

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import pytest
+
 from drumlin.llm import sharding
 
 
@@ -38,9 +40,10 @@ def rows_of(spark, n=3000):
     return texts, spark.createDataFrame([(i, t, i, "s") for i, t in enumerate(texts)], "doc_id long, text string, shard long, extra string")
 
 
-def test_documents(spark):
+@pytest.mark.parametrize("grain", [4096, 300])
+def test_documents(spark, grain):
     texts, docs = rows_of(spark)
-    out = sharding.shard_documents(docs, block=100, rows_per_bucket=300)
+    out = sharding.shard_documents(docs, grain=grain, rows_per_bucket=300)
     assert out.columns == ["doc_id", "extra", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rows = out.collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
@@ -57,13 +60,13 @@ def test_documents(spark):
 
 def test_group_over_a_shard_share(spark):
     docs = spark.createDataFrame([(i, "y" * 50 if i < 400 else "z" * (i % 7) + str(i)) for i in range(1000)], "doc_id long, text string")
-    rows = sharding.shard_documents(docs, block=50).collect()
+    rows = sharding.shard_documents(docs, grain=200).collect()
     totals = {}
     for r in rows:
         totals[r.shard] = totals.get(r.shard, 0) + r.size
     big = {r.shard for r in rows if r.doc_id < 400}
     rest = [v for s, v in totals.items() if s not in big]
-    assert len(big) == 1 and len(rest) == 7 and max(rest) - min(rest) <= 2
+    assert len(big) == 1 and len(rest) == 7 and max(rest) - min(rest) <= 10
 
 
 def test_repeated_and_null_ids(spark):
