@@ -8,6 +8,18 @@ from drumlin.llm import oracles
 from drumlin.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.mixing import mixing_report
+
+    return mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from drumlin.llm.sharding import shard_documents
 
@@ -33,6 +45,8 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op7_decontamination": op7_decontamination,
     "op3_karmarkar_karp": op3_karmarkar_karp,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_simhash_components": op6_simhash_components,
