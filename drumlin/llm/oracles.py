@@ -18,3 +18,14 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(formatted))::BIGINT AS formatted_chars
 FROM rendered GROUP BY conv_id
 """
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), d AS (SELECT *, sha1(payload) AS h FROM p)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(h, (1 + 5 * (j // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (j % 4))::BIGINT) & 31))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""

@@ -44,7 +44,21 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op8_warc": op8_warc,
     "op1_mixing": op1_mixing,
     "op7_decontamination": op7_decontamination,
     "op3_karmarkar_karp": op3_karmarkar_karp,
@@ -52,4 +66,4 @@ QUERIES = {
     "op6_simhash_components": op6_simhash_components,
     "op5_quality_rules": op5_quality_rules,
 }
-ORACLES: dict[str, str] = {"op4_chat_formatting": oracles.CHAT}
+ORACLES: dict[str, str] = {"op4_chat_formatting": oracles.CHAT, "op8_warc": oracles.WARC}
