@@ -56,7 +56,14 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op10_html_extraction": op10_html_extraction,
     "op2_secret_scan": op2_secret_scan,
     "op8_warc": op8_warc,
     "op1_mixing": op1_mixing,

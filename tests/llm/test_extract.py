@@ -1,0 +1,78 @@
+import itertools
+import random
+
+import numpy as np
+
+from drumlin.llm import extract
+
+
+def test_held_out_accuracy():
+    model, rng = extract.trained_model(), random.Random(12345)
+    right = total = 0
+    for _ in range(200):
+        blocks, labels = extract.labelled_blocks(rng)
+        right += sum(a == b for a, b in zip(model.decode(blocks), labels, strict=True))
+        total += len(labels)
+    assert right / total >= 0.98
+
+
+def test_viterbi_against_all_labellings():
+    rng = np.random.default_rng(4)
+    model = extract.Field({f: tuple(rng.normal(size=2)) for f in "abcdef"}, rng.normal(size=(2, 2)))
+    score = lambda page, ys: sum(model.weights[f][y] for block, y in zip(page, ys, strict=True) for f in block) + sum(model.moves[a, b] for a, b in itertools.pairwise(ys))
+    for _ in range(60):
+        page = [list(rng.choice(list("abcdef"), size=2)) for _ in range(rng.integers(1, 7))]
+        best = max(itertools.product((0, 1), repeat=len(page)), key=lambda ys: score(page, ys))
+        assert abs(score(page, model.decode(page)) - score(page, best)) < 1e-9
+
+
+def test_training_raises_likelihood():
+    rng = random.Random(6)
+    pages = [p for p in (extract.labelled_blocks(rng) for _ in range(40)) if p[0]]
+
+    def loss(model):
+        out = 0.0
+        for blocks, labels in pages:
+            s = [np.array([sum(model.weights.get(f, (0, 0))[y] for f in b) for y in (0, 1)]) for b in blocks]
+            a, gold = s[0], s[0][labels[0]]
+            for t in range(1, len(s)):
+                gold += model.moves[labels[t - 1], labels[t]] + s[t][labels[t]]
+                a = np.logaddexp.reduce(a[:, None] + model.moves, axis=0) + s[t]
+            out += np.logaddexp.reduce(a) - gold
+        return out
+
+    assert loss(extract.train(pages, rounds=80)) < 0.3 * loss(extract.train(pages, rounds=3))
+
+
+def test_blocks():
+    page = '<title>x</title><p>a  b&nbsp;c<p>d <b>e</b>f<br>g<ul><li>h<li>i &amp; &#233;&lt;</ul><script>var t="</p>";</script><!-- > -->j<div class="k>l">m<style>q</style>'
+    assert [b.text for b in extract.leaf_blocks(page)] == ["a b c", "d ef g", "h", "i & é<", "j", "m"]
+    for odd in ("", "<", "<p", "a<b", "</p></p>", "<script>never closed", "<!-- never", "<p title='>'>x", "<li>" * 3000 + "x"):
+        extract.leaf_blocks(odd)
+
+
+def page(body):
+    return f'<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body>{body}</body></html>'
+
+
+def test_pages(spark):
+    article = "<article><h1>The head&amp;line</h1><p><b>First of it.<br><p>Second   part, with <a href=x>a link</a> in it.</p></article>"
+    text = "The head&line\nFirst of it.\nSecond part, with a link in it."
+    nav, ad, foot = "<nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav>", '<div class="ad">Buy this now.</div>', "<footer>&copy; x &middot; All of it.</footer>"
+    comments = '<section class="comments"><h3>Comments</h3><div class="comment"><p>I like this text a lot, really.</p></div></section>'
+    cases = [
+        (1, "u", page(nav + ad + article + foot), text), (2, "u", page(nav + article + comments + foot), text), (3, None, page("<header><p>Our site</p></header>" + article + '<aside class="sidebar"><p>More of it here.</p></aside>'), text),
+        (4, "u", None, ""), (5, "u", "", ""), (6, "u", page(nav + foot), ""), (None, "u", page('<div class="cookie-notice"><p>We use cookies.</p></div>' + article + "<form><label>Mail</label><button>Go</button></form>"), text),
+        (8, "u", page(nav + article + foot)[:-20], text),
+    ]
+    frame = spark.createDataFrame([(*c[:3], "z") for c in cases], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in extract.extract_pages(frame).collect()}
+    for i, url, _, want in cases:
+        assert (got[i].url, got[i].text, got[i].n_chars) == (url, want, len(want)), i
+    assert extract.extract_pages(frame.limit(0)).collect() == []
+
+
+def test_one_very_long_page(spark):
+    long = page("<nav><a href=/x>Home</a></nav><article>" + "<p>Some words of a paragraph, and more of them.</p>" * 20_000 + "</article>")
+    frame = spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")
+    assert extract.extract_pages(frame).first().text.count("\n") == 19_999

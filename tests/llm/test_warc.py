@@ -45,12 +45,12 @@ def test_archives(spark, tmp_path, compress):
 def test_salvage(compress):
     rng = random.Random(2)
     for trial in range(60):
-        parts = [warc.record(i, f"http://x/{i}", rng.randbytes(rng.randrange(0, 400))) for i in range(12)]
+        payloads = [rng.randbytes(rng.randrange(1, 400)) for _ in range(12)]
+        parts = [warc.record(i, f"http://x/{i}", x) for i, x in enumerate(payloads)]
         parts = [warc.member(p, 6) for p in parts] if compress else parts
-        hit = rng.randrange(12)
-        broken = list(parts)
-        kind = trial % 4
-        at = rng.randrange(len(parts[hit]))
+        hit, kind, broken = rng.randrange(12), trial % 4, list(parts)
+        # A plain archive's head has no checksum: there the damage is to the payload.
+        at = rng.randrange(len(parts[hit])) if compress else len(parts[hit]) - 5
         if kind == 0:
             broken[hit] = parts[hit][:at] + bytes([parts[hit][at] ^ 0x5A]) + parts[hit][at + 1 :]
         elif kind == 1:
@@ -59,14 +59,11 @@ def test_salvage(compress):
             broken[hit] = b"\x1f\x8b\x08garbage WARC/1.1\r\nnonsense\r\n\r\n" + rng.randbytes(50)
         else:
             broken[hit] = parts[hit] + b"\x00junk"
-        data = b"".join(broken)
-        got = warc.salvage(data)
-        ids = [int(r["id"].rsplit(":", 1)[1].rstrip(">")) for r in got.records if r["id"][10:-1].lstrip("-").isdigit()]
-        assert set(range(12)) - {hit, hit + (kind == 1)} <= set(ids), (trial, kind, ids)
-        if set(ids) != set(range(12)):
-            assert got.gaps
-        spans = sum(b - a for a, b in got.gaps)
-        assert spans <= len(broken[hit]) + (len(parts[hit + 1]) if hit < 11 else 0)
+        got = warc.salvage(b"".join(broken))
+        ids = {int(r["id"].rsplit(":", 1)[1].rstrip(">")) for r in got.records}
+        assert set(range(12)) - {hit, hit + (kind == 1)} <= ids <= set(range(12)), (trial, kind, ids)
+        assert got.gaps or len(ids) == 12
+        assert sum(b - a for a, b in got.gaps) <= len(broken[hit]) + (len(parts[hit + 1]) if hit < 11 else 0)
 
 
 def test_repeated_rows_and_empty(spark, tmp_path):
