@@ -62,7 +62,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from drumlin.llm.linededup import line_dedup_report
+
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op2_secret_scan": op2_secret_scan,
     "op8_warc": op8_warc,
