@@ -58,24 +58,31 @@ def pairs_nested(points: DataFrame, radius: float, closed: bool = False) -> Data
     return a.join(b, (d2 <= r2) if closed else (d2 < r2)).select("i", "j", V.square_dist(F.col("__a"), F.col("__b"), dim).alias("d2"))
 
 
-def pairs_grid(points: DataFrame, radius: float, closed: bool = False) -> DataFrame:
+def pairs_equal(points: DataFrame) -> DataFrame:
+    """Pairs at distance 0, an equality join."""
+    a, b = points.select(F.col("point_id").alias("i"), F.transform("x", lambda v: v.cast("double") + F.lit(0.0)).alias("k")), points.select(F.col("point_id").alias("j"), F.transform("x", lambda v: v.cast("double") + F.lit(0.0)).alias("k"))
+    return a.join(b, "k").select("i", "j", F.lit(0.0).alias("d2"))
+
+
+def pairs_grid(points: DataFrame, radius: float, closed: bool = False, asked: DataFrame | None = None) -> DataFrame:
     dim = dimension(points)
     if radius <= 0:
-        return pairs_nested(points, radius, closed) if closed else points.select(F.col("point_id").alias("i"), F.col("point_id").alias("j"), F.lit(0.0).alias("d2")).limit(0)
+        return pairs_equal(points) if closed else points.select(F.col("point_id").alias("i"), F.col("point_id").alias("j"), F.lit(0.0).alias("d2")).limit(0)
     spans = points.agg(*(F.max(F.col("x")[k]) - F.min(F.col("x")[k]) for k in range(dim))).first()
     axes = sorted(range(dim), key=lambda k: -(spans[k] or 0))[:GRID_AXES]
     width = radius * (1 + 1e-9)  # a pair on the boundary never skips a cell by rounding
     cells = [F.floor(F.col("x")[k].cast("double") / width).alias(f"c{n}") for n, k in enumerate(axes)]
     filed = points.select(F.col("point_id").alias("j"), F.col("x").alias("__b"), *cells)
     offsets = F.array(*(F.struct(*(F.lit(o).cast("long").alias(f"o{n}") for n, o in enumerate(os))) for os in product((-1, 0, 1), repeat=len(axes))))
-    asked = points.select(F.col("point_id").alias("i"), F.col("x").alias("__a"), *cells).withColumn("o", F.explode(offsets))
-    asked = asked.select("i", "__a", *((F.col(f"c{n}") + F.col(f"o.o{n}")).alias(f"c{n}") for n in range(len(axes))))
+    own = points if asked is None else points.join(asked.select("point_id"), "point_id", "left_semi")
+    spread = own.select(F.col("point_id").alias("i"), F.col("x").alias("__a"), *cells).withColumn("o", F.explode(offsets))
+    spread = spread.select("i", "__a", *((F.col(f"c{n}") + F.col(f"o.o{n}")).alias(f"c{n}") for n in range(len(axes))))
     d2, r2 = V.square_dist(F.col("__a"), F.col("__b"), dim), radius * radius
-    joined = asked.join(filed, [f"c{n}" for n in range(len(axes))]).select("i", "j", d2.alias("d2"))
+    joined = spread.join(filed, [f"c{n}" for n in range(len(axes))]).select("i", "j", d2.alias("d2"))
     return joined.where((F.col("d2") <= r2) if closed else (F.col("d2") < r2))
 
 
-def pairs_blocks(points: DataFrame, radius: float, closed: bool = False, block: int = 512) -> DataFrame:
+def pairs_blocks(points: DataFrame, radius: float, closed: bool = False, asked: DataFrame | None = None, block: int = 512) -> DataFrame:
     ids, cloud = matrix_of(points)
     held = points.sparkSession.sparkContext.broadcast((ids, cloud))
     r2 = radius * radius
@@ -89,16 +96,20 @@ def pairs_blocks(points: DataFrame, radius: float, closed: bool = False, block:
                 i, j = np.nonzero(d2 <= r2 if closed else d2 < r2)
                 yield pd.DataFrame({"i": part["point_id"].to_numpy()[i], "j": ids[j], "d2": d2[i, j]})
 
-    return points.select("point_id", "x").mapInPandas(run, "i long, j long, d2 double")
+    own = points if asked is None else points.join(asked.select("point_id"), "point_id", "left_semi")
+    return own.select("point_id", "x").mapInPandas(run, "i long, j long, d2 double")
 
 
-def radius_pairs(points: DataFrame, radius: float, closed: bool = False, provider: str | NeighborProvider = "auto") -> DataFrame:
-    """(i, j, d2): pairs closer than `radius` (or at it, if closed), a point with itself included."""
+def radius_pairs(points: DataFrame, radius: float, closed: bool = False, provider: str | NeighborProvider = "auto", asked: DataFrame | None = None) -> DataFrame:
+    """(i, j, d2): pairs closer than `radius` (or at it, if closed), a point with itself
+    included; with `asked` (point_id) only those of the points asked, as i."""
     if callable(provider):
         return provider(points, radius, closed)
     if provider == "auto":
         provider = "blocks" if fits_broadcast(points, dimension(points)) else "grid"
-    return {"nested": pairs_nested, "grid": pairs_grid, "blocks": pairs_blocks}[provider](points, radius, closed)
+    if provider == "nested":
+        return pairs_nested(points, radius, closed)
+    return {"grid": pairs_grid, "blocks": pairs_blocks}[provider](points, radius, closed, asked)
 
 
 def knn_blocks(points: DataFrame, k: int, block: int = 256) -> DataFrame:
@@ -132,7 +143,7 @@ def knn_expanding(points: DataFrame, k: int) -> DataFrame:
     radius, todo, done = max(epsilon_estimation(points, 2 * k), 1e-12), points.select("point_id"), None
     w = Window.partitionBy("i").orderBy("d2", "j")
     while True:
-        near = radius_pairs(points, radius, True, "grid").join(todo.withColumnRenamed("point_id", "i"), "i", "left_semi")
+        near = radius_pairs(points, radius, True, "grid", todo)
         ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         full = ranked.groupBy("i").count().where(F.col("count") >= min(k, n)).select("i")
         got = ranked.join(full, "i", "left_semi").select("i", "j", "d2", F.col("rank").cast("int").alias("rank"))
