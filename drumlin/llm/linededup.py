@@ -164,7 +164,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     else:
         rows = _numbered(docs, id_col, text)
     runs = materialize(repeated_runs(rows.select("row", "id", "text"), gram_words=gram_words, min_words=min_words), "runs")
-    joined = rows.join(runs, "row", "left")
+    # Always by a shuffle: deletions grow with the corpus, and a plan that broadcasts them
+    # while they are few would tell nothing of the plan at scale.
+    joined = rows.join(runs.hint("merge"), "row", "left")
     inside = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
     lines = F.split(F.col("text"), "\n", -1)
     clean = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(let(lines, lambda v: F.filter(v, lambda x, i: ~inside(i))), "\n"))
