@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from drumlin.llm.common import let, materialize, small_batches
 
 LONG = pa.list_(pa.int64())
-PRINTS = pa.list_(pa.struct([("print", pa.int64()), ("windows", pa.list_(pa.struct([("start", pa.int64()), ("window", pa.int64())])))]))
 
 
 def hash_lines(text: str | None) -> tuple[list[int], list[int], list[int]]:
@@ -116,17 +115,19 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), *(pa.array([g[k] for g in got], LONG) for k in range(3)),
-                    pa.array([[{"print": v, "windows": [{"start": i, "window": w} for i, w in ws]} for _, v, ws in x] for x in prints], PRINTS),
+                    pa.array([[v for _, v, ws in x for _ in ws] for x in prints], LONG), pa.array([[k == 0 for *_, ws in x for k in range(len(ws))] for x in prints], pa.list_(pa.bool_())),
+                    pa.array([[i for *_, ws in x for i, _ in ws] for x in prints], LONG), pa.array([[w for *_, ws in x for _, w in ws] for x in prints], LONG),
                 ],
-                names=["row", "id", "hashes", "counts", "at", "prints"],
+                names=["row", "id", "hashes", "counts", "at", "print", "fresh", "start", "window"],
             )
 
     id_type = dict(rows.dtypes)["id"]
-    read = rows.mapInArrow(lines, f"row long, id {id_type}, hashes array<long>, counts array<long>, at array<long>, prints array<struct<print: long, windows: array<struct<start: long, window: long>>>>")
-    read = materialize(read.where(F.size("prints") > 0), "lines")
-    prints = read.select("row", "id", F.explode("prints").alias("x")).select("row", "id", "x.print", "x.windows")
-    shared = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    windows = prints.join(shared, "print", "left_semi").select("row", "id", F.explode("windows").alias("x")).select("row", "id", "x.start", "x.window")
+    read = rows.mapInArrow(lines, f"row long, id {id_type}, hashes array<long>, counts array<long>, at array<long>, print array<long>, fresh array<boolean>, start array<long>, window array<long>")
+    read = materialize(read.where(F.size("print") > 0), "lines")
+    # A place counts once, by its first window, however many windows chose it.
+    each = read.select("row", "id", F.explode(F.arrays_zip("print", "fresh", "start", "window")).alias("x")).select("row", "id", "x.*")
+    shared = each.where("fresh").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    windows = each.join(shared, "print", "left_semi").select("row", "id", "start", "window")
     windows = materialize(windows, "windows")
     first = windows.groupBy("window").agg(F.min(F.struct("id", "row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
