@@ -18,6 +18,7 @@ from drumlin.operators import prep as P
 from drumlin.operators import project as R
 from drumlin.plans import planner as L
 from drumlin.schema import check_weights, dimension
+from drumlin.store import written
 
 
 def version() -> str:
@@ -28,11 +29,6 @@ def quantize(points: DataFrame, bin_width: float) -> DataFrame:
     return P.quantize(points, bin_width)
 
 
-def _stable(df: DataFrame, name: str) -> DataFrame:
-    """A result that is used more than once, written in the shared folder."""
-    return B._written(df, name)
-
-
 def reachability(
     points: DataFrame, min_pts: int, epsilon: float = -1.0, *, mode: L.NeighborMode = L.NeighborMode.ON_DEMAND, core: L.CoreDistMode = L.CoreDistMode.SCAN, max_precompute_bytes: int = 0
 ) -> DataFrame:
@@ -48,6 +44,7 @@ def reachability(
     if not dim:
         return O.reachability(points, min_pts, 1.0)
     if epsilon <= 0:
+        points = written(points, "cloud")
         epsilon = E.epsilon_estimation_knee(points, min_pts)
     if mode is L.NeighborMode.AUTO:
         mode, core = L.resolve_acquisition(dim, N.avg_neighbors(points, epsilon), points.count(), max_precompute_bytes or L.CACHE_BUDGET)
@@ -68,7 +65,7 @@ def soptics_reachability(
     uniform estimate on them."""
     if min_pts < 1:
         raise ValueError("min_pts must be 1 or more")
-    unit = _unit_cloud(points, metric, kernel_scale, seed)
+    unit = written(_unit_cloud(points, metric, kernel_scale, seed), "unit")
     if not dimension(unit):
         return O.reachability(unit, min_pts, 1.0)
     if epsilon <= 0:
@@ -94,7 +91,7 @@ def _expand(clusters: DataFrame, mapping: DataFrame | None) -> DataFrame:
 def threshold_clusters(points: DataFrame, min_pts: int, threshold: float = -1.0, epsilon: float = -1.0, *, dedup: bool = True) -> DataFrame:
     """(cluster_id, point_id) by a flat cut; threshold < 0: the 90 % rank of reachabilities."""
     cloud, mapping = L.dedup_if_smaller(points) if dedup else (points, None)
-    reach = _stable(reachability(cloud, min_pts, epsilon), "reach")
+    reach = written(reachability(cloud, min_pts, epsilon), "reach")
     cut = E.default_threshold(reach) if threshold < 0 else threshold
     return _expand(X.flat_cut(reach, cut), mapping)
 
@@ -102,7 +99,7 @@ def threshold_clusters(points: DataFrame, min_pts: int, threshold: float = -1.0,
 def xi_clusters(points: DataFrame, min_pts: int, chi: float = 0.05, epsilon: float = -1.0, *, min_diff: float = 0.0, min_cluster_size: int = 0, dedup: bool = True) -> DataFrame:
     """(cluster_id, point_id) by steep areas; clusters may nest."""
     cloud, mapping = L.dedup_if_smaller(points) if dedup else (points, None)
-    reach = _stable(reachability(cloud, min_pts, epsilon), "reach")
+    reach = written(reachability(cloud, min_pts, epsilon), "reach")
     ranges = X.xi_ranges(reach, chi, min_pts, min_diff, min_cluster_size, cloud.select("point_id", "w") if "w" in cloud.columns else None)
     return _expand(X.range_points(reach, ranges), mapping)
 
@@ -147,7 +144,7 @@ def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
     below the radius belongs to the tree. The radius doubles until the forest spans. From
     the second round on only points outside the largest component ask, since one end of any
     edge still missing is among them, and what the forest has joined is not joined again."""
-    core = _stable(H.core_distances(points, min_samples), "core")
+    core = written(H.core_distances(points, min_samples), "core")
     n = points.count()
     # Copies at distance 0 with core 0 need a radius above 0; a typical core distance links most points.
     radius = core.agg(F.percentile_approx("core", 0.9)).first()[0] or E.epsilon_estimation(points, 2 * max(min_samples, 2)) or 1.0
@@ -158,12 +155,12 @@ def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
         edges = H.mutual_reachability(pairs, core).where(F.col("weight") < radius)
         if forest is not None:
             edges = edges.union(forest)
-        forest = _stable(B.boruvka(points, _stable(H.forests(edges), "near")), "forest")
+        forest = written(B.boruvka(points, written(H.forests(edges), "near")), "forest")
         if forest.count() >= n - 1:
             return forest
         part = B.components(points, forest)
         largest = part.groupBy("c").count().orderBy(F.desc("count"), "c").first()["c"]
-        asked = _stable(part.where(F.col("c") != largest).select(F.col("p").alias("point_id")), "asked")
+        asked = written(part.where(F.col("c") != largest).select(F.col("p").alias("point_id")), "asked")
         radius *= 2
 
 
@@ -178,7 +175,7 @@ def hdbscan(
         raise ValueError(f"method must be one of {H.METHODS}")
     dimension(points)
     check_weights(points)
-    points = P.quantize(points, voxel)
+    points = written(P.quantize(points, voxel), "cloud")
     if points.count() < min_cluster_size:
         return _noise(points)
     cloud, mapping = L.dedup_if_smaller(points) if dedup and "w" not in points.columns else (points, None)
@@ -195,7 +192,7 @@ def shdbscan(
     """hdbscan() over the random-projection graph; epsilon <= 0: 2, all of the unit sphere."""
     if min_cluster_size < 2:
         raise ValueError("min_cluster_size must be 2 or more")
-    points = P.quantize(points, voxel)
+    points = written(P.quantize(points, voxel), "cloud")
     if points.count() < min_cluster_size:
         return _noise(points)
     cloud, mapping = L.dedup_if_smaller(points) if dedup and "w" not in points.columns else (points, None)
@@ -203,8 +200,8 @@ def shdbscan(
     if n < 2:
         return _noise(points)
     least = min_samples or min_cluster_size
-    unit = _unit_cloud(cloud, metric, kernel_scale, seed)
-    edges = _stable(R.ceos_graph(unit, epsilon if epsilon > 0 else 2.0, least, n_projections, k, m, seed, projection), "ceos")
+    unit = written(_unit_cloud(cloud, metric, kernel_scale, seed), "unit")
+    edges = written(R.ceos_graph(unit, epsilon if epsilon > 0 else 2.0, least, n_projections, k, m, seed, projection), "ceos")
     core = H.approx_core_distances(edges, unit, least)
     tree = H.sparse_graph_mst(H.mutual_reachability(edges.where("i < j"), core), n)
     return _expand(H.extract_from_mst(cloud, tree, min_cluster_size, method, allow_single_cluster), mapping)
@@ -217,7 +214,7 @@ def soptics(
     if extract not in ("threshold", "xi"):
         raise ValueError("extract must be threshold or xi")
     cloud, mapping = L.dedup_if_smaller(P.quantize(points, voxel))
-    reach = _stable(soptics_reachability(cloud, min_pts, epsilon, seed=seed, metric=metric, **options), "reach")
+    reach = written(soptics_reachability(cloud, min_pts, epsilon, seed=seed, metric=metric, **options), "reach")
     if extract == "threshold":
         clusters = X.flat_cut(reach, E.default_threshold(reach) if threshold < 0 else threshold)
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drumlin.operators.neighbors import distances, knn_core_dist, knn_core_dist_weighted, matrix_of
 from drumlin.schema import dimension, weight
+from drumlin.store import written
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def epsilon_estimation_knee(points: DataFrame, min_pts: int) -> float:
     n = points.agg(F.coalesce(F.sum(weight(points)), F.lit(0))).first()[0]
     if n <= min_pts or points.count() <= 1:
         return epsilon_estimation(points, min_pts)
-    knee = kneedle(knn_core_dist_weighted(points, min_pts) if weighted else knn_core_dist(points, min_pts))
+    knee = kneedle(written(knn_core_dist_weighted(points, min_pts) if weighted else knn_core_dist(points, min_pts), "k-distances"))
     return knee if knee > 0 else epsilon_estimation(points, min_pts)
 
 

@@ -130,7 +130,7 @@ def _tree_in_one_task(edges: DataFrame, n: int) -> DataFrame:
     return edges.select("u", "v", "weight").coalesce(1).mapInPandas(run, "u long, v long, weight double")
 
 
-def forests(edges: DataFrame, parts: int = 64) -> DataFrame:
+def forests(edges: DataFrame, parts: int = 0) -> DataFrame:
     """Drops edges that no spanning tree needs: each part of the edges keeps its own forest.
 
     Of any cycle inside a part the longest edge goes, so the whole's tree survives, and the
@@ -146,7 +146,8 @@ def forests(edges: DataFrame, parts: int = 64) -> DataFrame:
                 keep.append((int(u), int(v), w))
         yield pd.DataFrame(keep, columns=["u", "v", "weight"]).astype({"u": "int64", "v": "int64", "weight": "float64"})
 
-    return edges.select("u", "v", "weight").repartition(parts).mapInPandas(run, "u long, v long, weight double")
+    parts = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.select("u", "v", "weight").repartition(parts, "u", "v").mapInPandas(run, "u long, v long, weight double")
 
 
 def sparse_graph_mst(edges: DataFrame, n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from drumlin import api
 from drumlin.functions import color as C
 from drumlin.operators import prep
+from drumlin.store import written
 
 # Default cell widths by space.
 VOXEL = {"rgb": 4.0, "lab": 2.0}
@@ -29,10 +30,10 @@ def palette(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, size, fraction, r, g, b, l, a, lab_b): each cluster's mean colour."""
     n = labels.count()
     lab = C.srgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
-    joined = labels.where("label >= 0").join(pixels, "point_id").select("label", "r", "g", "b", lab[0].alias("L"), lab[1].alias("A"), lab[2].alias("B"))
+    joined = labels.where("label >= 0").join(pixels, "point_id").select("label", "r", "g", "b", lab[0].alias("lab_0"), lab[1].alias("lab_1"), lab[2].alias("lab_2"))
     return joined.groupBy("label").agg(
         F.count("*").alias("size"), (F.count("*") / F.lit(max(n, 1))).alias("fraction"), *(F.bround(F.avg(F.col(c).cast("double")), 0).cast("int").alias(c) for c in "rgb"),
-        F.bround(F.avg("L"), 1).alias("l"), F.bround(F.avg("A"), 1).alias("a"), F.bround(F.avg("B"), 1).alias("lab_b"),
+        F.bround(F.avg("lab_0"), 1).alias("l"), F.bround(F.avg("lab_1"), 1).alias("a"), F.bround(F.avg("lab_2"), 1).alias("lab_b"),
     )
 
 
@@ -69,7 +70,7 @@ def cluster_image(
         labels = api.cluster_threshold(cloud, near, voxel=width)
     else:
         labels = api.extract_xi(cloud, near, voxel=width)
-    labels = api._stable(prep.significance_filter(labels, min_cluster_frac), "labels")
+    labels = written(prep.significance_filter(labels, min_cluster_frac), "labels")
     noise = labels.where("label < 0").count() / max(n, 1)
     return labels, palette(pixels, labels), noise
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from drumlin.functions import vectors as V
 from drumlin.schema import weight, with_point_index
+from drumlin.store import written
 
 
 def convert_cloud(points: DataFrame, dtype: str = "double") -> DataFrame:
@@ -24,7 +25,7 @@ def normalize(points: DataFrame) -> DataFrame:
 def _collapse(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (point_id, x, key, w) the unique points, in order of first sight, and the map."""
     groups = keyed.groupBy("key").agg(F.min(F.struct("point_id", "x")).alias("first"), F.sum("w").alias("w"))
-    groups = groups.select("key", F.col("first.point_id").alias("first_id"), F.col("first.x").alias("x"), "w")
+    groups = written(groups.select("key", F.col("first.point_id").alias("first_id"), F.col("first.x").alias("x"), "w"), "groups")
     index = with_point_index(groups.select("first_id", F.col("first_id").alias("x")), ["first_id"]).select(F.col("point_id").alias("unique_id"), F.col("x").alias("first_id"))
     unique = groups.join(index, "first_id")
     mapping = keyed.select("point_id", "key").join(unique.select("key", "unique_id"), "key").select("point_id", "unique_id")

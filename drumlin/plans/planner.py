@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drumlin.operators import neighbors, prep
 from drumlin.schema import check_weights, dimension
+from drumlin.store import written
 
 EDGE_BYTES = 16  # an id and a squared distance
 
@@ -66,7 +67,7 @@ def dedup_if_smaller(points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     nothing repeats."""
     dimension(points)
     check_weights(points)
-    unique, mapping = prep.deduplicate(points)
+    unique, mapping = (written(t, "dedup") for t in prep.deduplicate(points))
     if unique.count() == points.count():
         return points, None
     return prep.as_weighted_cloud(unique).select("point_id", "x", F.col("w").cast("long").alias("w")), mapping

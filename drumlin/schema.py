@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from drumlin.store import written
+
 
 def cloud_from_columns(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], dtype: str = "double") -> DataFrame:
     """A cloud of `columns`, with point ids 0..n-1 by `order_by`, which must be unique."""
@@ -18,8 +20,10 @@ def with_point_index(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
 
     The rows are range-partitioned and each partition counts on from the ones before it, so
     no task sorts them all."""
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)))
+    ranged = df.repartitionByRange(*order_by).withColumn("__part", F.spark_partition_id())
+    local = ranged.select("__part", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)).alias("__rank"), "x")
+    # Written once: a second evaluation could draw other range bounds.
+    local = written(local, "ranked")
     counts = local.groupBy("__part").count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return local.join(F.broadcast(before), "__part").select((F.col("__before") + F.col("__rank") - 1).cast("long").alias("point_id"), "x")
