@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from drumlin.llm import oracles
 from drumlin.llm.common import table
@@ -35,7 +36,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from drumlin.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    # Rounded for comparison with other engines; kept goes by the figures as they are.
+    return out.withColumns({c: F.round(c, 6) for c in ("char_divergence", "word_divergence")})
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +83,4 @@ QUERIES = {
     "op6_simhash_components": op6_simhash_components,
     "op5_quality_rules": op5_quality_rules,
 }
-ORACLES: dict[str, str] = {"op4_chat_formatting": oracles.CHAT, "op8_warc": oracles.WARC}
+ORACLES: dict[str, str] = {"op4_chat_formatting": oracles.CHAT, "op5_quality_rules": oracles.quality(), "op8_warc": oracles.WARC}
