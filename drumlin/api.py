@@ -155,10 +155,9 @@ def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
         edges = H.mutual_reachability(pairs, core).where(F.col("weight") < radius)
         if forest is not None:
             edges = edges.union(forest)
-        forest = written(B.boruvka(points, written(H.forests(edges), "near")), "forest")
+        forest, part = B.forest_and_components(points, written(H.forests(edges), "near"))
         if forest.count() >= n - 1:
             return forest
-        part = B.components(points, forest)
         largest = part.groupBy("c").count().orderBy(F.desc("count"), "c").first()["c"]
         asked = written(part.where(F.col("c") != largest).select(F.col("p").alias("point_id")), "asked")
         radius *= 2

@@ -382,14 +382,21 @@ def mst_total_weight(spark, d):
 
 @query(PRIM_SQL)
 def mst_boruvka(spark, d):
-    return _total(api.exact_mst(supplier_cloud(spark, d), 4))
+    points = supplier_cloud(spark, d)
+    edges = hierarchy.mutual_reachability(hierarchy.complete_graph(points), hierarchy.core_distances(points, 4))
+    return _total(boruvka.boruvka(points, edges))
 
 
 @query(PRIM_SQL)
 def mst_sparse_graph(spark, d):
     points = supplier_cloud(spark, d)
     edges = hierarchy.mutual_reachability(hierarchy.complete_graph(points), hierarchy.core_distances(points, 4))
-    return _total(boruvka.boruvka_spanning(points, edges))
+    return _total(hierarchy.sparse_graph_mst(edges, points.count()))
+
+
+@query(PRIM_SQL)
+def mst_exact(spark, d):
+    return _total(api.exact_mst(supplier_cloud(spark, d), 4))
 
 
 @query()
