@@ -297,7 +297,7 @@ def flat_cut(spark, d):
     return extract.flat_cut(api.reachability(supplier_cloud(spark, d), 4, 250.0), 120.0)
 
 
-@query(ordering_sql(SUP, "sup", 4, 250.0) + ", f AS (SELECT reach, row_number() OVER (ORDER BY reach) - 1 AS k, count(*) OVER () AS m FROM step WHERE reach >= 0) SELECT round(max(reach), 9) AS threshold FROM f WHERE k = least(m - 1, floor(0.9::DOUBLE * m))")
+@query(ordering_sql(SUP, "sup", 4, 250.0) + ", f AS (SELECT reach, row_number() OVER (ORDER BY reach) - 1 AS k, count(*) OVER () AS m FROM step WHERE reach >= 0) SELECT coalesce(round(max(reach), 9), 0) AS threshold FROM f WHERE k = least(m - 1, floor(0.9::DOUBLE * m))")
 def default_threshold(spark, d):
     return one_row(spark, threshold=round(float(estimate.default_threshold(api.reachability(supplier_cloud(spark, d), 4, 250.0))), 9))
 
