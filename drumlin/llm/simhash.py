@@ -270,9 +270,10 @@ def components_of(fingerprints: DataFrame, *, id_col: str, radius: int = 2, buck
     parts = connected_components(near_links(distinct.select("fp"), radius, bucket_limit))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     labelled = materialize(labelled, "labelled")
-    linked = labelled.where("component <> fp").select("component").distinct()
-    least = labelled.join(linked, "component", "left_semi").groupBy("component").agg(F.min("least").alias("chain_least"))
-    return labelled.join(least, "component", "left").select("fp", "component", F.coalesce("chain_least", "least").alias("component_id"))
+    # Minima pre-aggregate, and the table of them stands alone, so Spark may split the
+    # rows of a large component in the join.
+    least = materialize(labelled.groupBy("component").agg(F.min("least").alias("chain_least")), "least")
+    return labelled.join(least, "component").select("fp", "component", F.col("chain_least").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, bucket_limit: int = 2000) -> DataFrame:
