@@ -351,6 +351,18 @@ def extract_from_mst(points: DataFrame, tree: DataFrame, min_cluster_size: int,
     return rows.union(tree.select("u", "v", "weight")).coalesce(1).mapInPandas(run, "point_id long, label long, probability double")
 
 
+def linkage_table(points: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, left, right, dist, size): the dendrogram; nodes under n are points."""
+    n = points.count()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames), ignore_index=True)
+        rows = linkage_of(n, list(zip(frame["u"].tolist(), frame["v"].tolist(), frame["weight"].tolist(), strict=True)), None)
+        yield pd.DataFrame([(n + k, m.left, m.right, m.dist, m.size) for k, m in enumerate(rows)], columns=["node", "left", "right", "dist", "size"])
+
+    return tree.select("u", "v", "weight").coalesce(1).mapInPandas(run, "node long, left long, right long, dist double, size long")
+
+
 def condensed_table(points: DataFrame, tree: DataFrame, min_cluster_size: int) -> DataFrame:
     """(parent, child, lambda_val, child_size): the condensed tree as rows."""
     n = points.count()

@@ -100,13 +100,39 @@ def pairs_blocks(points: DataFrame, radius: float, closed: bool = False, asked:
     return own.select("point_id", "x").mapInPandas(run, "i long, j long, d2 double")
 
 
+def pairs_lsh(points: DataFrame, radius: float, closed: bool = True, tables: int = 8, seed: int = 42) -> DataFrame:
+    """Approximate pairs by Spark's bucketed random projections: what shares a bucket of the
+    radius' width in one of `tables` hashes. Every pair returned is right; some are missed."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    dim = dimension(points)
+    vectors = points.select("point_id", "x", array_to_vector("x").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=max(radius, 1e-12), numHashTables=tables, seed=seed).fit(vectors)
+    near = model.approxSimilarityJoin(vectors, vectors, radius * (1 + 1e-9) + 1e-12, "d")
+    d2 = near.select(F.col("datasetA.point_id").alias("i"), F.col("datasetB.point_id").alias("j"), V.square_dist(F.col("datasetA.x"), F.col("datasetB.x"), dim).alias("d2"))
+    return d2.where((F.col("d2") <= radius * radius) if closed else (F.col("d2") < radius * radius))
+
+
+#: Named sources as other engines offer them: an index with a tolerance (here exact, which is
+#: within any tolerance), a box tree (inclusive), and two graph-like approximate presets.
+PRESETS = {"approx": ("auto", None), "rtree": ("auto", True), "graph": ("lsh", 16), "fast_graph": ("lsh", 6)}
+
+
 def radius_pairs(points: DataFrame, radius: float, closed: bool = False, provider: str | NeighborProvider = "auto", asked: DataFrame | None = None) -> DataFrame:
     """(i, j, d2): pairs closer than `radius` (or at it, if closed), a point with itself
     included; with `asked` (point_id) only those of the points asked, as i."""
     if callable(provider):
         return provider(points, radius, closed)
+    if provider in PRESETS:
+        provider, option = PRESETS[provider]
+        if provider == "lsh":
+            return pairs_lsh(points, radius, True, option)
+        closed = closed or bool(option)
     if provider == "auto":
         provider = "blocks" if fits_broadcast(points, dimension(points)) else "grid"
+    if provider == "lsh":
+        return pairs_lsh(points, radius, closed)
     if provider == "nested":
         return pairs_nested(points, radius, closed)
     return {"grid": pairs_grid, "blocks": pairs_blocks}[provider](points, radius, closed, asked)

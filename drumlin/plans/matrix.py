@@ -84,3 +84,26 @@ def article_of(name):
 def summarize_study(results: DataFrame, by: Sequence[str] = ("config", "space")) -> DataFrame:
     """Mean and median recall and time of a colour study, and its runs, by config and space."""
     return results.groupBy(*by).agg(F.count("*").alias("runs"), F.avg("recall").alias("mean_recall"), F.median("recall").alias("median_recall"), F.median("seconds").alias("median_seconds"))
+
+
+def density_params(n: int) -> dict[str, int]:
+    """Size-relative parameters of a colour study: neighbours, and a small and a large cluster."""
+    return {"min_pts": max(8, round(0.0007 * n)), "small": max(15, round(0.002 * n)), "large": max(30, round(0.01 * n))}
+
+
+def study_configs(n: int) -> dict[str, dict]:
+    """The seven configurations of a colour study."""
+    p = density_params(n)
+    return {
+        "hdbscan-sm": {"algo": "hdbscan", "min_cluster_size": p["small"]}, "hdbscan-lg": {"algo": "hdbscan", "min_cluster_size": p["large"]}, "shdbscan": {"algo": "shdbscan", "min_cluster_size": p["small"]},
+        "xi05": {"algo": "xi", "min_pts": p["min_pts"]}, "xi01": {"algo": "xi", "min_pts": 2 * p["min_pts"]}, "threshold": {"algo": "threshold", "min_pts": p["min_pts"]}, "soptics": {"algo": "soptics", "min_pts": p["min_pts"]},
+    }
+
+
+def kmeans_baseline(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(point_id, label) by Spark's own k-means, for comparison."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    vectors = points.select("point_id", array_to_vector("x").alias("features"))
+    return KMeans(k=k, seed=seed).fit(vectors).transform(vectors).select("point_id", F.col("prediction").cast("long").alias("label"))

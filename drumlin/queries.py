@@ -246,6 +246,21 @@ def radius_pairs_closed(spark, d):
     return neighbors.radius_pairs(part_cloud(spark, d), 6.0, True).select("i", "j", F.round("d2", 6).alias("d2"))
 
 
+@query(f"WITH {PRT}, {NEAR} SELECT i, j, round(d2, 6) AS d2 FROM n WHERE d2 <= 36")
+def radius_pairs_rtree(spark, d):
+    return neighbors.radius_pairs(part_cloud(spark, d), 6.0, provider="rtree").select("i", "j", F.round("d2", 6).alias("d2"))
+
+
+@query(f"WITH {PRT}, {NEAR} SELECT i, j, round(d2, 6) AS d2 FROM n WHERE d2 < 36")
+def radius_pairs_approx(spark, d):
+    return neighbors.radius_pairs(part_cloud(spark, d), 6.0, provider="approx").select("i", "j", F.round("d2", 6).alias("d2"))
+
+
+@query()
+def radius_pairs_graph(spark, d):
+    return neighbors.radius_pairs(embedding_cloud(spark, d), 1.1, provider="graph")
+
+
 @query(f"WITH {EMB} SELECT p.point_id AS i, o.point_id AS j, round(list_distance(p.x, o.x) ** 2, 6) AS d2 FROM emb p, emb o WHERE list_distance(p.x, o.x) < 1.1")
 def radius_pairs_64d(spark, d):
     return neighbors.radius_pairs(embedding_cloud(spark, d), 1.1).select("i", "j", F.round("d2", 6).alias("d2"))
@@ -434,6 +449,26 @@ def hdbscan_sizes(spark, d):
     return estimate.summarize(api.hdbscan(customer_cloud(spark, d), 10))
 
 
+@query(PRIM_SQL.replace("count(*) AS n_edges, round(sum(near), 6) AS total_weight", "count(*) AS n_merges, round(sum(near), 6) AS total, (count(*) + 1)::BIGINT AS top_size"))
+def linkage(spark, d):
+    points = supplier_cloud(spark, d)
+    rows = hierarchy.linkage_table(points, hierarchy.dense_mst(points, 4))
+    return rows.agg(F.count("*").alias("n_merges"), F.round(F.sum("dist"), 6).alias("total"), F.max("size").alias("top_size"))
+
+
+@query(f"WITH {LIN}, {CUT} SELECT cluster_id AS label, count(*) AS n, min(point_id) AS first, max(point_id) AS last FROM cut GROUP BY cluster_id")
+def groups_from_labels(spark, d):
+    groups = extract.groups_from_labels(_line_clusters(spark, d).select("point_id", F.col("cluster_id").alias("label")))
+    return groups.select("label", F.size("point_ids").cast("long").alias("n"), F.array_min("point_ids").alias("first"), F.array_max("point_ids").alias("last"))
+
+
+@query()
+def kmeans_baseline(spark, d):
+    from drumlin.plans.matrix import kmeans_baseline as run
+
+    return run(part_cloud(spark, d), 8)
+
+
 @query()
 def condensed_tree(spark, d):
     points = customer_cloud(spark, d)

@@ -289,3 +289,28 @@ def test_alias_and_empty(spark):
         assert api.cluster_dbscan(points, 5, 10.0).count() == 90
     empty = points.limit(0)
     assert api.reachability(empty, 5).count() == 0 and api.cluster_threshold(empty, 5).count() == 0 and api.hdbscan(empty, 5).count() == 0
+
+
+def test_presets(spark):
+    rng = np.random.default_rng(8)
+    points = cloud(spark, rng.normal(size=(150, 3)))
+    exact = {(r.i, r.j) for r in neighbors.radius_pairs(points, 0.7, True, "nested").collect()}
+    assert {(r.i, r.j) for r in neighbors.radius_pairs(points, 0.7, provider="rtree").collect()} == exact
+    for name, least in (("graph", 0.9), ("fast_graph", 0.6)):
+        got = [(r.i, r.j) for r in neighbors.radius_pairs(points, 0.7, provider=name).collect()]
+        assert len(got) == len(set(got)) and set(got) <= exact and len(got) >= least * len(exact)
+
+
+def test_small_tables(spark):
+    from drumlin.operators import extract
+    from drumlin.plans import matrix
+
+    points = cloud(spark, [(0.0,), (1.0,), (5.0,)])
+    tree = spark.createDataFrame([(0, 1, 1.0), (1, 2, 4.0)], "u long, v long, weight double")
+    assert [tuple(r) for r in hierarchy.linkage_table(points, tree).orderBy("node").collect()] == [(3, 0, 1, 1.0, 2), (4, 3, 2, 4.0, 3)]
+    clusters = spark.createDataFrame([(0, 2), (5, 0)], "cluster_id long, point_id long")
+    assert labels_array(extract.labels_from_clusters(points, clusters), 3) == [1, -1, 0]
+    assert matrix.kmeans_baseline(points, 2).select("label").distinct().count() == 2
+    reach = spark.createDataFrame([(0, 3, -1.0)], "order_index long, point_index long, reachability double")
+    assert extract.to_string(reach).first().text == "{3,-1.0}"
+    assert matrix.density_params(100_000) == {"min_pts": 70, "small": 200, "large": 1000} and len(matrix.study_configs(1000)) == 7
