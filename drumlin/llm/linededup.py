@@ -127,10 +127,11 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
     # A place counts once, by its first window, however many windows chose it.
     each = read.select("row", "id", F.explode(F.arrays_zip("print", "fresh", "start", "window")).alias("x")).select("row", "id", "x.*")
     shared = each.where("fresh").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    shared = materialize(shared, "shared")  # alone, so that Spark may split the rows of a common one
     windows = each.join(shared, "print", "left_semi").select("row", "id", "start", "window")
     windows = materialize(windows, "windows")
     first = windows.groupBy("window").agg(F.min(F.struct("id", "row", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start"))
+    first = materialize(first.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first")
     pairs = windows.join(first, "window").where("row <> first_row or start <> first_start")
     pairs = pairs.groupBy("row", "first_row").agg(F.collect_list(F.struct("start", "first_start")).alias("matches"))
     own = read.select("row", "hashes", "counts", "at")
