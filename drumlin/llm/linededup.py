@@ -13,13 +13,14 @@ extended line by line both ways, and the later run goes. A window meets its firs
 only, so a passage in n documents costs n rows, not n * n: all its windows go, while a few
 lines after the last window that another earlier document shares may stay.
 
-Texts are read once into a table in the shared folder, with a row number that the joins go
-by. Lines are compared by 64-bit hashes. Joins and minima by fingerprint pre-aggregate or
+A document is known by a digest of its id and text, computed wherever it is read, so no
+copy of the texts is written. Lines are compared by 64-bit hashes. Joins and minima by fingerprint pre-aggregate or
 stand where Spark splits a hot key; what is gathered is one document's matches with one
 other, or one document's deletions.
 
-Defined cases. Null and empty texts stay as they are. Repeated rows: the later row's copy
-of a long enough text is deleted, all of it. Within one document a later repeat goes too,
+Defined cases. Null and empty texts stay as they are. Repeated rows, equal in id and text,
+are one document: each keeps what the first keeps. Equal texts under other ids are later
+copies and lose all of a long enough text. Within one document a later repeat goes too,
 overlapping runs included. Lines without words never match; they go when they lie inside a
 deleted run. A null id sorts first. An empty table gives an empty result. Extra columns of
 any name are kept by drop_repeated_lines()."""
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drumlin.llm.common import let, materialize, small_batches
+from drumlin.llm.common import free_name, let, materialize, small_batches
 
 LONG = pa.list_(pa.int64())
 
@@ -104,7 +105,7 @@ def extend(own: list[int], other: list[int], own_counts: list[int], matches: lis
 
 
 def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFrame:
-    """(row, runs): raw line ranges to delete, from a table (row, id, text)."""
+    """(row, runs): raw line ranges to delete, from a table (row, id, text); `row` is a string."""
     spark = rows.sparkSession
     small_batches(spark)
 
@@ -122,7 +123,7 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
             )
 
     id_type = dict(rows.dtypes)["id"]
-    read = rows.mapInArrow(lines, f"row long, id {id_type}, hashes array<long>, counts array<long>, at array<long>, print array<long>, fresh array<boolean>, start array<long>, window array<long>")
+    read = rows.mapInArrow(lines, f"row string, id {id_type}, hashes array<long>, counts array<long>, at array<long>, print array<long>, fresh array<boolean>, start array<long>, window array<long>")
     read = materialize(read.where(F.size("print") > 0), "lines")
     # A place counts once, by its first window, however many windows chose it.
     each = read.select("row", "id", F.explode(F.arrays_zip("print", "fresh", "start", "window")).alias("x")).select("row", "id", "x.*")
@@ -134,8 +135,8 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
     first = materialize(first.select("window", F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "first")
     pairs = windows.join(first, "window").where("row <> first_row or start <> first_start")
     pairs = pairs.groupBy("row", "first_row").agg(F.collect_list(F.struct("start", "first_start")).alias("matches"))
-    own = read.select("row", "hashes", "counts", "at")
-    other = read.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes"))
+    own = read.select("row", "hashes", "counts", "at").dropDuplicates(["row"])
+    other = read.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")).dropDuplicates(["first_row"])
     both = pairs.join(own, "row").join(other, "first_row").select("row", "first_row", "matches", "hashes", "counts", "at", "first_hashes")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,45 +148,39 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
                     out_rows.append(r["row"])
                     starts.append(r["at"][a])
                     ends.append(r["at"][b])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_rows, starts, ends)], names=["row", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_rows, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["row", "start", "end"])
 
-    found = both.mapInArrow(ranges, "row long, start long, end long")
+    found = both.mapInArrow(ranges, "row string, start long, end long")
     return found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
-def _numbered(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), whole.alias("own")), "numbered")
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", gram_words: int = 25, min_words: int = 50) -> DataFrame:
-    """(own, clean, runs, n_lines, n_deleted): each row as a struct with its cleaned text."""
-    slim = docs.columns == [id_col, text]
-    if slim:
-        rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")), "numbered")
-    else:
-        rows = _numbered(docs, id_col, text)
-    runs = materialize(repeated_runs(rows.select("row", "id", "text"), gram_words=gram_words, min_words=min_words), "runs")
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", gram_words: int = 25, min_words: int = 50) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its cleaned text, deleted runs, numbers of lines and of deleted lines, and
+    the names of those columns."""
+    names = {k: free_name(docs, f"__{k}") for k in ("row", "clean", "runs", "n_lines", "n_deleted")}
+    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary"))
+    rows = docs.select(key.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    runs = materialize(repeated_runs(rows, gram_words=gram_words, min_words=min_words), "runs").toDF(names["row"], names["runs"])
     # Always by a shuffle: deletions grow with the corpus, and a plan that broadcasts them
     # while they are few would tell nothing of the plan at scale.
-    joined = rows.join(runs.hint("merge"), "row", "left")
-    inside = lambda i: F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"]))
-    lines = F.split(F.col("text"), "\n", -1)
-    clean = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(let(lines, lambda v: F.filter(v, lambda x, i: ~inside(i))), "\n"))
-    deleted = F.when(F.col("runs").isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), F.lit(0), lambda n, i: n + F.when(inside(i), 1).otherwise(0)))
-    own = F.col("own") if not slim else F.struct(F.col("id").alias(id_col))
-    return joined.select(own.alias("own"), clean.alias("clean"), "runs", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"))
+    joined = docs.withColumn(names["row"], key).join(runs.hint("merge"), names["row"], "left")
+    held = F.col(names["runs"])
+    inside = lambda i: F.exists(held, lambda r: (i >= r["start"]) & (i <= r["end"]))
+    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    clean = F.when(held.isNull(), F.col(f"`{text}`")).otherwise(F.array_join(let(lines, lambda v: F.filter(v, lambda x, i: ~inside(i))), "\n"))
+    deleted = F.when(held.isNull(), F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), F.lit(0), lambda n, i: n + F.when(inside(i), 1).otherwise(0)))
+    return joined.withColumns({names["clean"]: clean, names["n_lines"]: F.coalesce(F.size(lines), F.lit(0)).cast("long"), names["n_deleted"]: deleted.cast("long")}), names
 
 
 def line_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row for each document: doc_id, n_lines, n_deleted, runs (start:end, raw lines,
     ends included, comma-joined) and the cleaned text."""
-    out = dedup_lines(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")), id_col=id_col, text=text, **options)
-    shown = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(":"), r["end"])), ",")
-    return out.select(F.col("own")[id_col].alias(id_col), "n_lines", "n_deleted", F.coalesce(shown, F.lit("")).alias("runs"), F.col("clean").alias("text"))
+    out, names = dedup_lines(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")), id_col=id_col, text=text, **options)
+    shown = F.array_join(F.transform(names["runs"], lambda r: F.concat(r["start"], F.lit(":"), r["end"])), ",")
+    return out.select(F.col(f"`{id_col}`"), F.col(names["n_lines"]).alias("n_lines"), F.col(names["n_deleted"]).alias("n_deleted"), F.coalesce(shown, F.lit("")).alias("runs"), F.col(names["clean"]).alias("text"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with the repeated runs deleted from `text`."""
-    out = dedup_lines(docs, id_col=id_col, text=text, **options)
-    return out.select(*(F.col("clean").alias(c) if c == text else F.col("own")[c].alias(c) for c in docs.columns))
+    out, names = dedup_lines(docs, id_col=id_col, text=text, **options)
+    return out.select(*(F.col(names["clean"]).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
