@@ -1,6 +1,6 @@
 """Streams of points: the distinct points and their weights, kept up to date.
 
-The reference set has no streaming; this is the one stage of the engine that is
+This is the one stage of the engine that is
 incremental by nature. Each micro-batch is summed to distinct points and appended as its own
 partition keyed by batch id, so a batch that runs twice replaces itself; current() sums the
 batches to the weighted cloud that every clusterer takes."""
