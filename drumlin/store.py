@@ -11,14 +11,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, spark.checkpoint.dir; only
-    where that is unset, as in local tests, in a temporary folder."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder of this application's tables under the shared folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.drumlin.scratch", None)
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="drumlin-")
         spark.conf.set("spark.drumlin.scratch", path)
-    return f"{path.rstrip('/')}/drumlin-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{path.rstrip('/')}/drumlin-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application wrote there; results still to be computed
+    from them are lost, so call it when they have been stored."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; only
+    where that is unset, as in local tests, in a temporary folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -314,3 +314,15 @@ def test_small_tables(spark):
     reach = spark.createDataFrame([(0, 3, -1.0)], "order_index long, point_index long, reachability double")
     assert extract.to_string(reach).first().text == "{3,-1.0}"
     assert matrix.density_params(100_000) == {"min_pts": 70, "small": 200, "large": 1000} and len(matrix.study_configs(1000)) == 7
+
+
+def test_release(spark):
+    from drumlin import store
+
+    path = store.shared_root(spark).removeprefix("file://")
+    store.written(spark.range(3), "x")
+    import os
+
+    assert os.path.isdir(path)
+    store.release(spark)
+    assert not os.path.exists(path)
