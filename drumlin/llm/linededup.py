@@ -136,7 +136,9 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
     pairs = windows.join(first, "window").where("row <> first_row or start <> first_start")
     pairs = pairs.groupBy("row", "first_row").agg(F.collect_list(F.struct("start", "first_start")).alias("matches"))
     own = read.select("row", "hashes", "counts", "at").dropDuplicates(["row"])
-    other = read.select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")).dropDuplicates(["first_row"])
+    asked = first.select(F.col("first_row").alias("row")).distinct()
+    other = read.join(asked, "row", "left_semi").select(F.col("row").alias("first_row"), F.col("hashes").alias("first_hashes")).dropDuplicates(["first_row"])
+    other = materialize(other, "firsts")  # alone, so that Spark may split what a first place's copies ask
     both = pairs.join(own, "row").join(other, "first_row").select("row", "first_row", "matches", "hashes", "counts", "at", "first_hashes")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
