@@ -24,6 +24,7 @@ from drumlin.schema import dimension, weight
 
 BLOCK_BYTES = 64_000_000
 GRID_AXES = 3
+ALL_PAIRS = 20_000_000_000
 
 
 class NeighborProvider(Protocol):
@@ -138,6 +139,40 @@ def radius_pairs(points: DataFrame, radius: float, closed: bool = False, provide
     return {"grid": pairs_grid, "blocks": pairs_blocks}[provider](points, radius, closed, asked)
 
 
+def nearest_on_line(values: np.ndarray, ids: np.ndarray, x: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and squared distances of the k nearest of sorted values, ties by the smaller
+    id: the k-th distance lies within k positions, and all values within it are ranked."""
+    at = int(np.searchsorted(values, x))
+    lo, hi = max(0, at - k), min(len(values), at + k)
+    near = np.abs(values[lo:hi] - x)
+    radius = float(np.partition(near, k - 1)[k - 1])
+    lo, hi = int(np.searchsorted(values, x - radius * (1 + 1e-12), "left")), int(np.searchsorted(values, x + radius * (1 + 1e-12), "right"))
+    d = values[lo:hi] - x
+    order = np.lexsort((ids[lo:hi], d * d))[:k]
+    return lo + order, (d * d)[order]
+
+
+def knn_line(points: DataFrame, k: int) -> DataFrame:
+    """knn_blocks() for one axis: the broadcast cloud is sorted, so a point looks at few others."""
+    ids, cloud = matrix_of(points)
+    order = np.lexsort((ids, cloud[:, 0])) if len(ids) else np.arange(0)
+    held = points.sparkSession.sparkContext.broadcast((ids[order], cloud[order, 0]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, values = held.value
+        kk = min(k, len(ids))
+        for frame in frames:
+            found = [nearest_on_line(values, ids, x[0], kk) for x in frame["x"]]
+            if not found:
+                continue
+            yield pd.DataFrame({
+                "i": np.repeat(frame["point_id"].to_numpy(), kk), "j": ids[np.concatenate([p for p, _ in found])],
+                "d2": np.concatenate([d for _, d in found]), "rank": np.tile(np.arange(1, kk + 1), len(found)),
+            })
+
+    return points.select("point_id", "x").mapInPandas(run, "i long, j long, d2 double, rank int")
+
+
 def knn_blocks(points: DataFrame, k: int, block: int = 256) -> DataFrame:
     ids, cloud = matrix_of(points)
     held = points.sparkSession.sparkContext.broadcast((ids, cloud))
@@ -183,8 +218,11 @@ def knn_expanding(points: DataFrame, k: int) -> DataFrame:
 def knn_graph(points: DataFrame, k: int, provider: str = "auto") -> DataFrame:
     """(i, j, d2, rank): up to k nearest, the point itself first, ties by the smaller id."""
     if provider == "auto":
-        provider = "blocks" if fits_broadcast(points, dimension(points)) else "expanding"
-    return knn_blocks(points, k) if provider == "blocks" else knn_expanding(points, k)
+        dim, n = dimension(points), points.count()
+        # A matrix of all pairs pays in high dimension, where cells prune little, and for few points.
+        fits = n * dim * 8 <= BLOCK_BYTES and (dim == 1 or dim > GRID_AXES or n * n * dim <= ALL_PAIRS)
+        provider = ("line" if dim == 1 else "blocks") if fits else "expanding"
+    return {"line": knn_line, "blocks": knn_blocks, "expanding": knn_expanding}[provider](points, k)
 
 
 def knn_core_dist(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:

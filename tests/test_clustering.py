@@ -136,6 +136,14 @@ def test_providers_agree(spark):
         assert a == b and len(a) == 720
 
 
+def test_nearest_on_a_line(spark):
+    rng = np.random.default_rng(11)
+    points = cloud(spark, np.round(rng.normal(size=(200, 1)) * 6) / 2)
+    for k in (1, 7, 40, 500):
+        a, b = (sorted(map(tuple, neighbors.knn_graph(points, k, p).collect())) for p in ("line", "blocks"))
+        assert a == b
+
+
 def test_weighted_core_distance(spark):
     x = [[0.0], [1.0], [2.0], [3.0]]
     first = lambda w, k: neighbors.knn_core_dist_weighted(cloud(spark, x, w), k).where("point_id = 0").first()["core_dist"]
