@@ -7,7 +7,7 @@ pages made here (menus, headers, sidebars, notices, adverts, forms, comments and
 in many layouts) and decodes each page by Viterbi. The content blocks are the main text.
 
 The model is some hundred weights; it is trained on the driver from `pages` labelled pages
-(a documented bound, 400) and broadcast. Pages are decoded where they lie, whole, without
+(a documented bound, 600) and broadcast. Pages are decoded where they lie, whole, without
 a shuffle.
 
 Defined cases. Null or empty html gives the empty text. Markup that is never closed ends
@@ -157,13 +157,29 @@ def _ancestor_features(node: tuple[str, str]) -> tuple[str, ...]:
     return got
 
 
+# Elements that mark a part of a page.
+SECTIONS = frozenset("nav header footer aside form dialog article main".split())
+BESIDE = frozenset({"nav", "header", "footer", "aside", "form", "dialog"} | {f"cue={c}" for c in CUES if c != "main"})
+
+
+def _marks(node: tuple[str, str]) -> list[str]:
+    """What an ancestor marks: its cues, boilerplate before main text, else its element."""
+    cues = [f for f in _ancestor_features(node) if f.startswith("cue=")]
+    beside = [c for c in cues if c != "cue=main"]
+    if node[0] in SECTIONS:
+        return [node[0], *beside]
+    return beside or cues
+
+
 def features(block: Leaf, place: int, count: int) -> list[str]:
     text, own = block.text, set()
     for node in block.path:
         own.update(_ancestor_features(node))
     n = len(text)
     words = text.count(" ") + 1
-    out = [*own, f"leaf={block.path[-1][0] if block.path else 'none'}", f"words={min(6, words.bit_length())}", f"link={min(3, 4 * block.linked // max(n, 1))}"]
+    # The nearest ancestor that is marked as a part of a page says most; then whether any is.
+    marks = [m for node in block.path for m in _marks(node)]
+    out = ["near=" + (marks[-1] if marks else "none"), *({"beside"} if any(m in BESIDE for m in marks) else {"plain"}), *own, f"leaf={block.path[-1][0] if block.path else 'none'}", f"words={min(6, words.bit_length())}", f"link={min(3, 4 * block.linked // max(n, 1))}"]
     if text[-1] in ".!?:;\"'":
         out.append("ends")
     if "©" in text or "·" in text:
@@ -210,20 +226,22 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate: float = 0.15, penalty: float = 2e-4) -> Field:
     """Maximum likelihood with an L2 penalty, by Adam over all pages at once; the chain's
     expectations come from the forward-backward recursions, run on all pages in parallel."""
     names = sorted({f for page, _ in pages for block in page for f in block})
     at = {f: i for i, f in enumerate(names)}
     longest = max(len(p) for p, _ in pages)
-    dense = np.zeros((len(pages), longest, len(names)), dtype=np.float32)
+    count = sum(len(p) for p, _ in pages)
+    flat, where, row = np.zeros((count, len(names)), dtype=np.float32), np.zeros((2, count), dtype=np.int64), 0
     gold = np.zeros((len(pages), longest), dtype=np.int64)
     mask = np.zeros((len(pages), longest), dtype=np.float64)
     for i, (page, labels) in enumerate(pages):
         for t, block in enumerate(page):
-            dense[i, t, [at[f] for f in block]] = 1
+            flat[row, [at[f] for f in block]] = 1
+            where[:, row] = i, t
+            row += 1
         gold[i, : len(labels)], mask[i, : len(labels)] = labels, 1
-    flat = dense.reshape(-1, len(names))
     theta = np.zeros(2 * len(names) + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     one = np.eye(2)[gold] * mask[..., None]
@@ -232,7 +250,8 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rat
     total = mask.sum()
     for step in range(1, rounds + 1):
         w, moves = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        emit = (flat @ w).reshape(len(pages), longest, 2)
+        emit = np.zeros((len(pages), longest, 2))
+        emit[where[0], where[1]] = flat @ w.astype(np.float32)
         ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
         ahead[:, 0] = emit[:, 0]
         for t in range(1, longest):
@@ -244,7 +263,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rat
         whole = np.logaddexp.reduce(ahead[:, -1], axis=1)
         single = np.exp(ahead + behind - whole[:, None, None]) * mask[..., None]
         double = np.exp(ahead[:, :-1, :, None] + moves + (emit[:, 1:] + behind[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * pair
-        grad = np.concatenate([(flat.T @ (single - one).reshape(-1, 2)).ravel(), (double - moved).sum(axis=(0, 1)).ravel()]) / total + penalty * theta
+        grad = np.concatenate([(flat.T @ (single - one)[where[0], where[1]].astype(np.float32)).ravel(), (double - moved).sum(axis=(0, 1)).ravel()]) / total + penalty * theta
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -254,6 +273,19 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rat
 
 # Labelled pages
 
+# How pages mark the parts beside the article.
+PARTS = {
+    "nav": [("nav", ""), ("nav", ""), ("nav", "site-nav"), ("div", "menu"), ("div", "navbar"), ("div", "main-nav"), ("div", "breadcrumbs"), ("ul", "menu")],
+    "header": [("header", ""), ("header", "site-header"), ("div", "header"), ("div", "masthead"), ("div", "topbar")],
+    "footer": [("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "page-footer"), ("div", "copyright")],
+    "side": [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("section", "related"), ("section", "related-posts"), ("div", "recommended"), ("aside", "rail")],
+    "ad": [("div", "ad"), ("div", "ads"), ("section", "advert"), ("div", "sponsored"), ("div", "promo"), ("aside", "banner-ad"), ("div", "advertisement"), ("p", "ad")],
+    "notice": [("div", "cookie-banner"), ("div", "notice"), ("section", "consent"), ("div", "alert"), ("div", "gdpr"), ("div", "popup"), ("div", "cookie-notice"), ("dialog", "privacy-notice"), ("div", "disclaimer")],
+    "form": [("form", ""), ("form", "search"), ("div", "newsletter"), ("div", "signup"), ("div", "subscribe"), ("form", "login-form")],
+    "comment": [("section", "comments"), ("div", "comments"), ("ol", "commentlist"), ("div", "disqus-thread"), ("section", "discussion"), ("div", "comment-list"), ("div", "reader-comments")],
+    "share": [("div", "share"), ("div", "social"), ("div", "share-buttons"), ("ul", "tags"), ("div", "follow-us")],
+}
+
 
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page and the texts of its content blocks. Layouts, wrappers and names vary; some
@@ -262,7 +294,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         return "".join(rng.choice(("ra", "to", "the", "in", "er", "of", "sol", "min", "é", "ü", "and", "ka")) for _ in range(rng.randrange(1, 4)))
 
     def sentence(n: int) -> str:
-        return (" ".join(word() for _ in range(n)).capitalize() + rng.choice(".....!?")).replace("and", rng.choice(("and", "&amp;", "and")))
+        joint = rng.choice((" ",) * 12 + (" | ", "%%% ", "### ", "!! "))  # any kind of text may be an article's
+        return (joint.join(word() for _ in range(n)).capitalize() + rng.choice((".", ".", ".", "!", "?", ""))).replace("and", rng.choice(("and", "&amp;", "and")))
 
     def text(lo: int, hi: int) -> str:
         return " ".join(sentence(rng.randrange(3, 14)) for _ in range(rng.randrange(lo, hi)))
@@ -278,33 +311,24 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         items = "".join(f'<li><a href="/{word()}">{short() if rng.random() < 0.6 else sentence(rng.randrange(4, 9))}</a></li>' for _ in range(n))
         return f"<ul>{items}</ul>"
 
-    def body_text() -> str:
-        return text(1, 3) if rng.random() < 0.6 else short()
-
-    def nav() -> str:
-        return rng.choice([box("nav", "", links(rng.randrange(2, 8))), box("div", rng.choice(("menu", "navbar", "main-nav", "breadcrumbs", "nav-bar")), links(rng.randrange(2, 8)))])
-
-    def header() -> str:
-        return box(*rng.choice([("header", ""), ("header", "site-header"), ("div", "header"), ("div", "masthead"), ("div", "topbar")]), rng.choice((f"<h1>{short()}</h1>", f"<p>{sentence(4)}</p>", short())) + (nav() if rng.random() < 0.4 else ""))
-
-    def footer() -> str:
-        return box(*rng.choice([("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "page-footer")]), rng.choice((f"&copy; {word()}.example.com &middot; {sentence(6)}", f"<p>{text(1, 3)}</p>", links(3) + f"<p>{sentence(5)}</p>")))
-
-    def side() -> str:
-        return box(*rng.choice([("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("section", "related"), ("div", "recommended"), ("aside", "rail")]), rng.choice((f"<h3>{short()}</h3>" + links(3), f"<h2>{short()}</h2><p>{body_text()}</p>", f"<p>{text(1, 4)}</p>")))
-
-    def ad() -> str:
-        return box(rng.choice(("div", "div", "section", "aside", "p")), rng.choice(("ad", "ads", "advert", "sponsored", "promo", "banner-ad", "advertisement")), rng.choice((sentence(8), f"<p>{text(1, 3)}</p>", f'<a href="/x">{sentence(6)}</a>')))
-
-    def notice() -> str:
-        return box(rng.choice(("div", "section", "dialog", "p", "aside")), rng.choice(("cookie-banner", "notice", "consent", "alert", "gdpr", "popup", "cookie-notice", "privacy-notice")), rng.choice((sentence(12), f"<p>{text(1, 3)}</p><button>{short()}</button>")))
-
-    def form() -> str:
-        return rng.choice([f'<form action="/s"><label>{short()}</label><input name="q"><button>{short()}</button></form>', f"<form><p>{text(1, 2)}</p><select><option>{short()}</option></select><textarea>{short()}</textarea></form>", box("div", rng.choice(("newsletter", "search-form", "signup")), f"<p>{sentence(7)}</p><input><button>{short()}</button>")])
-
-    def comments() -> str:
-        one = lambda: box(rng.choice(("div", "li", "article")), rng.choice(("comment", "comment-body", "reply")), f"<h4>{short()}</h4><p>{text(1, 4)}</p>" + (f"<p>{text(1, 3)}</p>" if rng.random() < 0.4 else ""))
-        return box(*rng.choice([("section", "comments"), ("div", "comments"), ("ol", "commentlist"), ("div", "disqus-thread"), ("section", "discussion")]), f"<h3>{short()}</h3>" * rng.randrange(2) + "".join(one() for _ in range(rng.randrange(1, 4))))
+    def inner() -> str:
+        """What any part beside the article may hold: words, links, headings or whole prose."""
+        prose = "".join(f"<p>{text(1, 4)}</p>" for _ in range(rng.randrange(1, 4)))
+        return rng.choice((short(), sentence(rng.randrange(3, 14)), links(rng.randrange(2, 7)), prose, prose, f"<p>{short()}</p>", f"<{(h := rng.choice(('h2', 'h3', 'h4')))}>{short()}</{h}>" + rng.choice((prose, links(3)))))
+
+    def part(kind: str) -> str:
+        tag, name = rng.choice(PARTS[kind])
+        body = inner()
+        if kind == "form":
+            body = rng.choice((f'<label>{short()}</label><input name="q"><button>{short()}</button>', body + f"<input><button>{short()}</button>", f"<p>{text(1, 2)}</p><select><option>{short()}</option></select><textarea>{short()}</textarea>"))
+        elif kind == "footer" and rng.random() < 0.4:
+            body = f"&copy; {word()}.example.com &middot; {sentence(6)}"
+        elif kind == "comment":
+            one = lambda: box(rng.choice(("div", "li", "article")), rng.choice(("comment", "comment-body", "reply", "")), f"<h4>{short()}</h4>" * rng.randrange(2) + inner())
+            body = f"<h3>{short()}</h3>" * rng.randrange(2) + "".join(one() for _ in range(rng.randrange(1, 4)))
+        elif kind == "nav" and rng.random() < 0.6:
+            body = links(rng.randrange(2, 8))
+        return box(tag, name, body)
 
     content: list[str] = []
 
@@ -334,15 +358,18 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             elif r < 0.97:
                 parts.append("<table><tr>" + "".join(f"<td>{keep(short())}</td>" for _ in range(3)) + "</tr></table>")
             elif len(parts) > 1:
-                parts.append(rng.choice((ad, side, form, notice))())
-        inner = "".join(parts) + (comments() if rng.random() < 0.15 else "")
-        return rng.choice([f"<article>{inner}</article>", f"<article>{inner}</article>", box("article", rng.choice(("post", "story", "entry")), inner), f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", box("div", rng.choice(("content", "article-body", "post-content", "entry", "main-content", "story-text")), inner)])
-
-    before = [f() for f in rng.sample([nav, header, ad, notice, form, nav, header], rng.randrange(0, 4))]
+                parts.append(part(rng.choice(list(PARTS))))
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+            parts.append(part(rng.choice(list(PARTS))))
+        inside = "".join(parts)
+        return rng.choice([f"<article>{inside}</article>", f"<article>{inside}</article>", box("article", rng.choice(("post", "story", "entry")), inside), f"<main>{inside}</main>", f"<main><article>{inside}</article></main>", box("div", rng.choice(("content", "article-body", "post-content", "entry", "main-content", "story-text")), inside), box(rng.choice(("div", "section")), "", inside)])
+
+    kinds = list(PARTS)
+    before = [part(rng.choice(kinds)) for _ in range(rng.randrange(0, 4))]
     main = article()
-    after = [f() for f in rng.sample([side, ad, comments, form, notice, footer, side, comments], rng.randrange(0, 4))] + ([footer()] if rng.random() < 0.8 else [])
-    if rng.random() < 0.2:
-        before.append(side())
+    after = [part(rng.choice(kinds)) for _ in range(rng.randrange(0, 4))] + ([part("footer")] if rng.random() < 0.7 else [])
+    if rng.random() < 0.6:
+        before.insert(0, part("nav"))
     page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{short()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{''.join(before)}{main}{''.join(after)}"
     return page + ("</body></html>" if rng.random() < 0.8 else ""), content
 
@@ -366,7 +393,7 @@ def _stands_aside(block: Leaf) -> bool:
 _models: dict[tuple[int, int], Field] = {}
 
 
-def trained_model(pages: int = 400, seed: int = 13) -> Field:
+def trained_model(pages: int = 600, seed: int = 13) -> Field:
     """The model from `pages` labelled pages; trained once a process."""
     if (pages, seed) not in _models:
         rng = random.Random(seed)

@@ -13,7 +13,7 @@ def test_held_out_accuracy():
         blocks, labels = extract.labelled_blocks(rng)
         right += sum(a == b for a, b in zip(model.decode(blocks), labels, strict=True))
         total += len(labels)
-    assert right / total >= 0.98
+    assert right / total >= 0.99
 
 
 def test_viterbi_against_all_labellings():
@@ -76,3 +76,15 @@ def test_one_very_long_page(spark):
     long = page("<nav><a href=/x>Home</a></nav><article>" + "<p>Some words of a paragraph, and more of them.</p>" * 20_000 + "</article>")
     frame = spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")
     assert extract.extract_pages(frame).first().text.count("\n") == 19_999
+
+
+def test_parts_beside_the_article_in_any_place():
+    model = extract.trained_model()
+    article = "<h1>A head of it</h1><p>Some first words | of it, 3%%% of all</p><p>And then a second paragraph of prose, with more words in it.</p>"
+    want = "A head of it\nSome first words | of it, 3%%% of all\nAnd then a second paragraph of prose, with more words in it."
+    parts = [("nav", ""), ("aside", ""), ("header", ""), ("footer", ""), ("form", ""), ("div", "sidebar"), ("div", "ad"), ("section", "comments"), ("div", "cookie-notice"), ("div", "newsletter"), ("ul", "menu")]
+    for tag, name in parts:
+        for inner in ("<p>Whole prose that stands beside the article, as long as any of its own.</p>", "Short words", "<p>One.</p><p>Two of them, and three.</p>"):
+            box = f"<{tag}" + (f' class="{name}"' if name else "") + f">{inner}</{tag}>"
+            for body in (f"{box}<article>{article}</article>", f"<article>{article}{box}</article>", f'<div class="content">{article}</div>{box}', f"<main>{box}{article}</main>"):
+                assert extract.main_text(page(body), model) == want, (tag, name, inner, body[:40])
