@@ -398,3 +398,33 @@ def complete_graph(points: DataFrame) -> DataFrame:
 
 def radius_graph(points: DataFrame, radius: float) -> DataFrame:
     return radius_pairs(points, radius).where("i < j")
+
+
+def cluster_groups(points: DataFrame, group_cols: Sequence[str], min_cluster_size: int, min_samples: int = 0, method: str = "eom", allow_single: bool = False) -> DataFrame:
+    """(groups, point_id, label, probability): each group's points clustered on their own, one
+    task for each group; equal points of a group merge into weights first."""
+    if min_cluster_size < 2:
+        raise ValueError("min_cluster_size must be 2 or more")
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    groups = list(group_cols)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("point_id")
+        cloud = np.array(frame["x"].tolist(), dtype=np.float64).reshape(len(frame), -1) + 0.0
+        out = frame[[*groups, "point_id"]].assign(label=-1, probability=0.0)
+        if len(frame) < min_cluster_size:
+            return out
+        unique, first, inverse, counts = np.unique(cloud, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(first, kind="stable")  # distinct points in order of first sight
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        unique, counts, inverse = unique[order], counts[order], place[inverse.ravel()]
+        weights = counts.tolist() if len(unique) < len(cloud) else None
+        near = core_of_rows(np.sqrt(distances(unique, unique)), counts if weights else None, min_samples or min_cluster_size)
+        labels, probability = extract_labels(len(unique), prim(unique, near), min_cluster_size, method, allow_single, weights)
+        return out.assign(label=np.array(labels)[inverse], probability=np.array(probability)[inverse])
+
+    kinds = dict(points.dtypes)
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "point_id long, label long, probability double"])
+    return points.select(*groups, "point_id", "x").groupBy(*groups).applyInPandas(run, schema)

@@ -13,17 +13,15 @@ def contingency(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
 
 
-def _choose2(n):
-    return n * (n - 1) / 2.0
-
-
 def pair_counts(table: DataFrame) -> DataFrame:
     """One row: n, pairs, and pairs together in both, in a, in b."""
     two = lambda c: F.col(c) * (F.col(c) - 1) / F.lit(2.0)
-    cells = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(two("n")), F.lit(0.0)).alias("both"))
-    rows = table.groupBy("a").agg(F.sum("n").alias("m")).agg(F.coalesce(F.sum(two("m")), F.lit(0.0)).alias("in_a"))
-    cols = table.groupBy("b").agg(F.sum("n").alias("m")).agg(F.coalesce(F.sum(two("m")), F.lit(0.0)).alias("in_b"))
-    return cells.crossJoin(F.broadcast(rows)).crossJoin(F.broadcast(cols)).withColumn("pairs", two("n"))  # one row each
+    zero = F.lit(0.0)
+    cells = table.select(F.col("n").cast("double").alias("n"), two("n").alias("both"), zero.alias("in_a"), zero.alias("in_b"))
+    rows = table.groupBy("a").agg(F.sum("n").alias("m")).select(zero, zero, two("m"), zero)
+    cols = table.groupBy("b").agg(F.sum("n").alias("m")).select(zero, zero, zero, two("m"))
+    sums = cells.union(rows).union(cols).agg(*(F.coalesce(F.sum(c), zero).alias(c) for c in ("n", "both", "in_a", "in_b")))
+    return sums.withColumn("pairs", two("n"))
 
 
 def rand_index(pairs: DataFrame) -> DataFrame:
@@ -44,14 +42,15 @@ def adjusted_rand_index(pairs: DataFrame) -> DataFrame:
 def normalized_mutual_info(pairs: DataFrame) -> DataFrame:
     """(nmi): mutual information over the mean of both entropies; 1 where both are 0."""
     t = contingency(pairs)
-    n = t.agg(F.sum("n").cast("double").alias("total"))
+    total = float(t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] or 1)
     rows, cols = t.groupBy("a").agg(F.sum("n").alias("ra")), t.groupBy("b").agg(F.sum("n").alias("cb"))
-    cells = t.join(rows, t["a"].eqNullSafe(rows["a"])).drop(rows["a"]).join(cols, t["b"].eqNullSafe(cols["b"])).crossJoin(F.broadcast(n))
-    info = cells.agg(F.coalesce(F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("ra") * F.col("cb")))), F.lit(0.0)).alias("mi"))
-    entropy = lambda df, c, name: df.crossJoin(F.broadcast(n)).agg(F.coalesce(-F.sum(F.col(c) / F.col("total") * F.log(F.col(c) / F.col("total"))), F.lit(0.0)).alias(name))
-    both = info.crossJoin(entropy(rows, "ra", "ha")).crossJoin(entropy(cols, "cb", "hb"))
-    mean = (F.col("ha") + F.col("hb")) / 2
-    return both.select(F.when(mean > 0, F.col("mi") / mean).otherwise(1.0).alias("nmi"))
+    cells = t.join(rows, t["a"].eqNullSafe(rows["a"])).drop(rows["a"]).join(cols, t["b"].eqNullSafe(cols["b"]))
+    zero = F.lit(0.0)
+    entropy = lambda c: -(F.col(c) / total * F.log(F.col(c) / total))
+    parts = cells.select((F.col("n") / total * F.log(F.col("n") * total / (F.col("ra") * F.col("cb")))).alias("mi"), zero.alias("h"))
+    parts = parts.union(rows.select(zero, entropy("ra"))).union(cols.select(zero, entropy("cb")))
+    both = parts.agg(F.coalesce(F.sum("mi"), zero).alias("mi"), (F.coalesce(F.sum("h"), zero) / 2).alias("mean"))
+    return both.select(F.when(F.col("mean") > 0, F.col("mi") / F.col("mean")).otherwise(1.0).alias("nmi"))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> dict[str, float]:

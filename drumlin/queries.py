@@ -439,6 +439,12 @@ def hdbscan_weighted(spark, d):
     return api.hdbscan(lineitem_cloud(spark, d), 60, 20)
 
 
+@query()
+def hdbscan_by_nation(spark, d):
+    keys = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.array(F.col("c_acctbal").cast("double")).alias("x"))
+    return hierarchy.cluster_groups(keys.withColumnRenamed("c_custkey", "point_id"), ["c_nationkey"], 5)
+
+
 @query()
 def hdbscan_knn_graph(spark, d):
     return api.hdbscan(part_cloud(spark, d), 10, mst_algo=planner.MstAlgorithm.KNN_GRAPH)

@@ -207,6 +207,17 @@ def test_spanning_trees_have_one_weight(spark):
         assert n == 89 and math.isclose(total, want, rel_tol=1e-9)
 
 
+def test_groups_cluster_as_alone(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(np.vstack([rng.normal(c, 1, (40, 2)) for c in ((0, 0), (30, 0))]) * 2) / 2
+    points = cloud(spark, x)
+    alone = labels_array(api.hdbscan(points, 6), 80)
+    both = points.withColumn("g", F.lit("a")).union(points.withColumn("g", F.lit("b")))
+    got = hierarchy.cluster_groups(both, ["g"], 6)
+    assert all(labels_array(got.where(F.col("g") == g), 80) == alone for g in "ab")
+    assert set(labels_array(hierarchy.cluster_groups(both.where("point_id < 3"), ["g"], 6).where("g = 'a'"), 3)) == {-1}
+
+
 def test_sparse_tree_bridges():
     assert hierarchy.kruskal(4, [(2, 3, 5.0)]) == [(2, 3, 5.0), (0, 1, 11.0), (0, 2, 11.0)]
     assert hierarchy.kruskal(3, []) == [(0, 1, 2.0), (0, 2, 2.0)]
