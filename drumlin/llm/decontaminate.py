@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from drumlin.llm.common import small_batches
 
 WORD = re.compile(r"\w+")
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 WALKS, SAMPLED, MOST_KEYS = 3, 3, 192
 SCHEMA = "item_id long, start_word int, end_word int, distance int, similarity double"
 

@@ -88,7 +88,7 @@ def test_tables(spark, case):
     items, docs, want = case
     bench = spark.createDataFrame([*items, (99, "too short here"), (98, None), items[0]], "item_id long, text string")
     table = spark.createDataFrame([(d, t, "x") for d, t in docs] + [(500, None, "y"), (None, docs[0][1], "z")], "doc_id long, text string, item_id string").repartition(3)
-    for block in (8_000_000, 2_000):
+    for block in (2_000_000, 2_000):
         rows = dc.find_contamination(table.drop("item_id"), bench, block_chars=block).collect()
         got = {(r.doc_id, r.item_id) for r in rows if r.doc_id is not None}
         assert got <= set(want) and len(got) >= 0.93 * len(want)
