@@ -116,3 +116,14 @@ def cluster_summary(labels: DataFrame, points: DataFrame) -> DataFrame:
     joined = labels.join(points.select("point_id", "x"), "point_id")
     means = [F.avg(F.col("x")[k].cast("double")) for k in range(dim)]
     return joined.groupBy("label").agg(F.count("*").alias("size"), F.array(*means).alias("centroid"))
+
+
+def principal_components(points: DataFrame, k: int = 2) -> DataFrame:
+    """(point_id, pc0..): the first k principal components, for tables and plots of clouds of
+    more than three dimensions."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vectors = points.select("point_id", array_to_vector("x").alias("v"))
+    out = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).transform(vectors).select("point_id", vector_to_array("p").alias("p"))
+    return out.select("point_id", *(F.col("p")[i].alias(f"pc{i}") for i in range(k)))

@@ -231,6 +231,11 @@ def eps_knee_weighted(spark, d):
     return one_row(spark, epsilon=round(estimate.epsilon_estimation_knee(weighted_lines(spark, d), 40), 9))
 
 
+@query()
+def principal_components(spark, d):
+    return estimate.principal_components(embedding_cloud(spark, d), 2)
+
+
 # Neighbours
 
 NEAR = "n AS (SELECT p.point_id AS i, o.point_id AS j, (p.a - o.a) * (p.a - o.a) + (p.b - o.b) * (p.b - o.b) AS d2 FROM prt p, prt o WHERE abs(p.a - o.a) <= 6 AND abs(p.b - o.b) <= 6)"

@@ -77,3 +77,21 @@ def angular_blobs(n: int, dim: int, k: int, jitter: float = 0.12, seed: int = 0)
     y = np.arange(n) % k
     x = centres[y] + rng.normal(0, jitter, (n, dim))
     return x / np.linalg.norm(x, axis=1, keepdims=True), y
+
+
+def toy(name: str, n: int = 600, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Plane toys: blobs of one spread, moons, blobs of varied spreads, blobs of varied density."""
+    rng = np.random.default_rng(seed)
+    if name == "moons":
+        return moons(n, seed=seed)
+    centres = np.array([(0, 0), (12, 0), (6, 11)], dtype=float)
+    if name == "blobs":
+        sigma, share = np.ones(3), np.ones(3) / 3
+    elif name == "varied":
+        sigma, share = np.array([0.5, 1.2, 2.4]), np.ones(3) / 3
+    elif name == "density":
+        sigma, share = np.ones(3), np.array([0.7, 0.2, 0.1])
+    else:
+        raise ValueError("toys are blobs, moons, varied and density")
+    y = np.repeat(np.arange(3), np.diff(np.concatenate([[0], np.round(np.cumsum(share) * n).astype(int)])))
+    return centres[y] + rng.normal(size=(len(y), 2)) * sigma[y, None], y

@@ -34,6 +34,22 @@ def read_ppm_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, x array<double>")
 
 
+def read_images(spark: SparkSession, path: str, max_dim: int | None = None) -> DataFrame:
+    """(path, point_id, r, g, b): the pixels of images in any format that Spark's image source
+    reads (PNG, JPEG, GIF, BMP), numbered within each image; what it can't read is dropped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, h, w, channels, data in zip(*(frame[c] for c in frame.columns), strict=True):
+                a = np.frombuffer(bytes(data), np.uint8).reshape(h, w, channels)
+                bgr = np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, :3]
+                px = as_pixels(bgr, bgr=True, max_dim=max_dim).astype(int)
+                yield pd.DataFrame({"path": name, "point_id": np.arange(len(px)), "r": px[:, 0], "g": px[:, 1], "b": px[:, 2]})
+
+    files = spark.read.format("image").option("dropInvalid", True).load(path)
+    return files.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInPandas(run, "path string, point_id long, r int, g int, b int")
+
+
 def as_pixels(image: np.ndarray, *, bgr: bool = False, max_dim: int | None = None) -> np.ndarray:
     """Nx3 bytes from (H, W, 3) or (N, 3): nearest-neighbour downscale to `max_dim`, floats up
     to 1 scaled by 255, clipped, channels swapped if blue comes first."""

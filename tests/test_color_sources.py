@@ -65,6 +65,28 @@ def test_images(spark, tmp_path):
     assert some.count() == 10 and sorted(r.point_id for r in some.collect()) == list(range(10))
 
 
+def test_image_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    px = bands()[:8, :6]
+    raw = b"".join(b"\0" + row.tobytes() for row in px)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 8, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    got = images.read_images(spark, f"file://{tmp_path}/a.png").orderBy("point_id").collect()
+    assert [[r.r, r.g, r.b] for r in got] == px.reshape(-1, 3).astype(int).tolist()
+    assert images.read_images(spark, f"file://{tmp_path}/a.png", max_dim=4).count() == 12
+
+
+def test_components(spark):
+    from drumlin.operators import estimate
+
+    x = np.random.default_rng(0).normal(size=(60, 4)) * (9, 3, 1, 0.1)
+    pc = estimate.principal_components(cloud_from_rows(spark, x.tolist())).toPandas()
+    assert pc["pc0"].var() > pc["pc1"].var() > 4
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("x0,x1,name\n1,2,a\n3\nx,4,b\n 5 ,6.5,c,more\n")
     got = csv.read_points(spark, f"file://{tmp_path}/p.csv")
@@ -97,6 +119,8 @@ def test_generators():
         x, y = generators.generate(300, 5, 3, noise=0.1, shape=shape, seed=2)
         assert x.shape == (330, 5) and (y == -1).sum() == 30
         assert np.array_equal(x, generators.generate(300, 5, 3, noise=0.1, shape=shape, seed=2)[0])
+    for name in ("blobs", "moons", "varied", "density"):
+        assert generators.toy(name, 100)[0].shape == (100, 2)
     for density in generators.DENSITIES:
         assert generators.blobs_nd(100, 3, 4, density)[0].shape == (100, 3)
     assert np.allclose(np.linalg.norm(generators.angular_blobs(50, 8, 3)[0], axis=1), 1)
