@@ -226,7 +226,10 @@ def eps_knee_customers(spark, d):
     return one_row(spark, epsilon=round(estimate.epsilon_estimation_knee(customer_cloud(spark, d), 8), 9))
 
 
-@query()
+@query(f"""WITH {LIN}, {DED}, n AS (SELECT p.unique_id AS i, o.unique_id AS j, o.w, (p.q - o.q) * (p.q - o.q) + (p.dc - o.dc) * (p.dc - o.dc) + (p.tx - o.tx) * (p.tx - o.tx) AS d2 FROM uni p JOIN uni o ON abs(p.q - o.q) < 12 AND abs(p.dc - o.dc) < 12 AND abs(p.tx - o.tx) < 12),
+near AS (SELECT i, j, w, d2, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS rank FROM n WHERE d2 < 144 QUALIFY rank <= 40), c AS (SELECT i, d2, sum(w) OVER (PARTITION BY i ORDER BY rank) AS cum FROM near),
+kd AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS x FROM (SELECT sqrt(min(d2)) AS k FROM c WHERE cum >= 40 GROUP BY i)), e AS (SELECT min(k) AS lo, max(k) AS hi, count(*) AS n FROM kd)
+SELECT round((SELECT k FROM kd, e ORDER BY abs((hi - lo) * x - (n - 1) * (k - lo)) DESC, x LIMIT 1), 9) AS epsilon""")
 def eps_knee_weighted(spark, d):
     return one_row(spark, epsilon=round(estimate.epsilon_estimation_knee(weighted_lines(spark, d), 40), 9))
 
@@ -515,10 +518,12 @@ def fwht_project(spark, d):
     return project.project(embedding_cloud(spark, d), 256, kind="structured")
 
 
-@query()
+@query(f"""WITH {EMB}, s AS (SELECT * FROM emb WHERE point_id % greatest(1, (SELECT count(*) FROM emb) // 48) = 0),
+p AS (SELECT list_distance(a.x, b.x) AS l2, list_sum(list_transform(range(1, len(a.x) + 1), lambda i: abs(a.x[i] - b.x[i]))) AS l1 FROM s a JOIN s b ON a.point_id < b.point_id)
+SELECT round((SELECT l2 FROM p ORDER BY l2 LIMIT 1 OFFSET (SELECT count(*) // 2 FROM p)), 6) AS l2, round((SELECT l1 FROM p ORDER BY l1 LIMIT 1 OFFSET (SELECT count(*) // 2 FROM p)), 6) AS l1""")
 def kernel_scale(spark, d):
     points = embedding_cloud(spark, d)
-    return one_row(spark, l2=estimate.auto_kernel_scale(points, "l2"), l1=estimate.auto_kernel_scale(points, "l1"))
+    return one_row(spark, l2=round(estimate.auto_kernel_scale(points, "l2"), 6), l1=round(estimate.auto_kernel_scale(points, "l1"), 6))
 
 
 @query()
