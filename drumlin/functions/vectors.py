@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+GENERATED_DIM = 32
+
 
 def square_dist(a: Column, b: Column, dim: int) -> Column:
-    """Sum of squared differences, left to right, as one generated expression."""
+    """Sum of squared differences, left to right: one generated expression in few dimensions,
+    a fold in many, where generated code would outgrow what the compiler takes."""
+    if dim > GENERATED_DIM:
+        return F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda t, v: t + v)
     total = None
     for i in range(dim):
         d = a[i].cast("double") - b[i].cast("double")
