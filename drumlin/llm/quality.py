@@ -81,7 +81,9 @@ def _histograms(docs: DataFrame, text: str, lang: str, common: dict[str, list[st
         per_lang = F.when(F.col(lang) == code, F.array(*map(F.lit, ws))).otherwise(per_lang)
     df = docs.withColumn(names["text"], F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({names["words"]: words_of(F.col(names["text"])), names["s0"]: F.regexp_replace(names["text"], SPACE + "+", ""), names["list"]: per_lang})
-    df = df.withColumn(names["common"], F.filter(names["words"], lambda w: w.isin(known)))
+    # The common words as one string, each between spaces of its own: a word's count is what
+    # the string loses when the word is replaced by nothing.
+    df = df.withColumn(names["common"], F.concat(F.lit(" "), F.array_join(F.filter(names["words"], lambda w: w.isin(known)), "  "), F.lit(" ")))
     for i, (_, pattern) in enumerate(CLASSES):
         df = df.withColumn(names[f"s{i + 1}"], F.regexp_replace(names[f"s{i}"], pattern, ""))
     bins = max(map(len, common.values()))
@@ -91,7 +93,8 @@ def _histograms(docs: DataFrame, text: str, lang: str, common: dict[str, list[st
     counters["c_other"] = F.length(names[f"s{len(CLASSES)}"])
     for j in range(bins):
         word = F.get(F.col(names["list"]), F.lit(j))
-        counters[f"w_{j}"] = F.coalesce(F.size(names["common"]) - F.size(F.array_remove(F.col(names["common"]), word)), F.lit(0))
+        lost = F.octet_length(names["common"]) - F.octet_length(F.replace(F.col(names["common"]), F.concat(F.lit(" "), word, F.lit(" ")), F.lit("")))
+        counters[f"w_{j}"] = F.coalesce(F.floor(lost / (F.octet_length(word) + 2)), F.lit(0))
     for k in counters:
         names[k] = free_name(docs, f"__{k}")
     df = df.withColumns({names[k]: c.cast("long") for k, c in counters.items()})
