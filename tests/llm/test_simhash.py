@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from drumlin.llm import simhash
+from drumlin.llm.components import connected_components
 
 
 def brute_components(fps):
@@ -92,3 +93,23 @@ def test_allocation_is_the_cheapest():
     best = min((cost[0, a + 1] + cost[1, b + 1] + cost[2, c + 1]) for a in range(-1, 3) for b in range(-1, 3) for c in range(-1, 3) if a + b + c == 0)
     total, chosen = simhash.allocate(cost, 0)
     assert total == best and sum(chosen) == 0
+
+
+def test_a_long_chain_is_one_component(spark):
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    links = [*zip(ids, ids[1:]), (2000, 2001)]
+    parts = connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.component for r in parts.collect()} == {**dict.fromkeys(ids, 0), 2000: 2000, 2001: 2000}
+
+
+def test_a_document_that_drifts_by_two_bits_a_version_is_one_component(spark):
+    rng = random.Random(6)
+    chain = [rng.getrandbits(64)]
+    while len(chain) < 600:
+        i, j = rng.sample(range(64), 2)
+        x = chain[-1] ^ 1 << i ^ 1 << j
+        if all((x ^ y).bit_count() > 2 for y in chain[:-1]):
+            chain.append(x)
+    df = spark.createDataFrame([(n, int(np.uint64(f).view(np.int64))) for n, f in enumerate(chain)], "doc_id long, fp long")
+    assert {r.component_id for r in simhash.components_of(df, id_col="doc_id").collect()} == {0}
