@@ -157,12 +157,12 @@ class Index:
                 del out[at : at + 1]
         return np.array(out + [0] * size, dtype=np.int32)
 
-    def distance(self, stream: np.ndarray, item: int, start: int) -> tuple[int, int, int]:
+    def distance(self, stream: np.ndarray, item: int, start: int, first: int = 0, last: int | None = None) -> tuple[int, int, int]:
         """Least edit distance of the item to a stretch of the stream near `start`; where it
-        begins and ends."""
+        begins and ends. The stretch lies in the text from `first` to `last`."""
         s = self.sequences[item]
         k = allowed(len(s), self.similarity)
-        lo, hi = max(0, start - k), min(len(stream), start + len(s) + 2 * k)
+        lo, hi = max(first, start - k), min(len(stream) if last is None else last, start + len(s) + 2 * k)
         part = stream[lo:hi]
         n = len(part)
         steps = np.arange(n + 1)
@@ -186,13 +186,14 @@ class Index:
         """(text, item, start, end, distance) of the items that the texts hold."""
         get, gap = self.vocabulary.get, [0] * (self.longest * 2 + 2)
         ids: list[int] = []
-        first = []
+        first, last = [], []
         for text in texts:
             first.append(len(ids))
             ids += [get(w, 0) for w in words(text)]
+            last.append(len(ids))
             ids += gap
         stream = np.array(ids, dtype=np.int32)
-        first = np.array([*first, len(ids)], dtype=np.int64)
+        bounds = np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for c in self.classes:
             span = max(1, c.size - c.slack)
@@ -203,10 +204,10 @@ class Index:
             held = total[span:] - total[:-span]
             starts = np.flatnonzero((held >= c.needed) & known[: len(held)])
             for at in range(0, len(starts), 20_000):
-                self._probe(c, stream, starts[at : at + 20_000], first, best)
+                self._probe(c, stream, starts[at : at + 20_000], bounds, best)
         return [(t, i, s, e, d) for (t, i), (d, s, e) in sorted(best.items())]
 
-    def _probe(self, c: LengthClass, stream: np.ndarray, starts: np.ndarray, first: np.ndarray, best: dict) -> None:
+    def _probe(self, c: LengthClass, stream: np.ndarray, starts: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], best: dict) -> None:
         outs = [self.embed(stream, starts, c.size, w) for w in range(WALKS)]
         near: dict[int, list[np.ndarray]] = {}
         for (walk, steps, factors), (table, items) in zip(c.keys, c.tables, strict=True):
@@ -219,17 +220,23 @@ class Index:
                 for item in np.unique(which):
                     near.setdefault(int(item), []).append(starts[more[which == item]])
         for item, found in near.items():
-            length, reached = len(self.sequences[item]), -1
-            for start in self._plausible(stream, item, np.unique(np.concatenate(found))).tolist():
-                if start < reached:
-                    continue
-                distance, begin, end = self.distance(stream, item, start)
-                if distance <= allowed(length, self.similarity):
-                    reached = end
-                    text = int(np.searchsorted(first, begin, "right")) - 1
-                    place = (distance, int(begin - first[text]), int(end - first[text]))
-                    if place < best.get((text, item), (1 << 30,)):
-                        best[text, item] = place
+            self._verify(stream, item, np.unique(np.concatenate(found)), bounds, best)
+
+    def _verify(self, stream: np.ndarray, item: int, starts: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], best: dict) -> None:
+        """Puts into `best` where the item stands in the texts that hold the starts. The text is the start's, and
+        nothing before or after it counts: swapping a missing word with a gap costs no more than dropping it."""
+        first, last = bounds
+        length, reached = len(self.sequences[item]), -1
+        for start in self._plausible(stream, item, starts).tolist():
+            if start < reached:
+                continue
+            text = int(np.searchsorted(first, start, "right")) - 1
+            distance, begin, end = self.distance(stream, item, start, int(first[text]), int(last[text]))
+            if distance <= allowed(length, self.similarity):
+                reached = end
+                place = (distance, int(begin - first[text]), int(end - first[text]))
+                if place < best.get((text, item), (1 << 30,)):
+                    best[text, item] = place
 
     def _plausible(self, stream: np.ndarray, item: int, starts: np.ndarray) -> np.ndarray:
         """The starts whose surroundings hold enough of the item's distinct words: an edit

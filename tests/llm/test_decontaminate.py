@@ -104,3 +104,19 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert dc.find_contamination(docs, none).collect() == [] and dc.drop_contaminated(docs, none).count() == 1
     assert dc.find_contamination(docs.limit(0), none).collect() == []
+
+
+def test_a_text_that_begins_or_ends_inside_an_item_is_the_one_reported():
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(8)]
+    clean = " ".join(prose(40, rng))
+    texts, want = [], {}
+    for i, item in items:
+        own = item.split()
+        for cut in (own[1:], own[3:], own[:-3]):
+            want[len(texts) + 1, i] = (0, len(cut), 30 - len(cut))
+            texts += [clean, " ".join(cut), ""]
+    index = dc.Index(items)
+    got = {(t, i): (s, e, d) for t, i, s, e, d in index.scan(texts)}
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.9 * len(want)
