@@ -7,8 +7,12 @@ random bit of step and word says whether the pointer moves on. Two sequences at
 edit distance give outputs at a small Hamming distance, since their walks fall in step
 again after each edit. Sampled output positions are the keys of a locality-sensitive hash;
 several walks with several samples each are made until edited copies of the items, at the
-largest distance allowed, are found at the target recall, which is measured when the index
-is built. What a key finds is verified by the exact edit distance, so nothing false stays.
+largest distance allowed, are found at the target recall. The recall is measured on fresh
+copies of every item when the index is built, with the edits anywhere and with all of them in the first third.
+A class of items that misses the target at `MOST_KEYS` keys has none: its items are cut
+into one piece more than edits are allowed, so every match holds some piece unchanged, and
+all places of all pieces are looked up, which finds every match. What a key or a piece finds
+is verified by the exact edit distance, so nothing false stays.
 
 Windows have the size of the items: items of near lengths form a class with one window.
 Every position of every whole document starts a window of every class, unless the words of
@@ -68,7 +72,8 @@ class LengthClass:
     keys: list[tuple[int, np.ndarray, np.ndarray]] = field(default_factory=list)  # walk, sampled steps, multipliers
     tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys, items
     holds: np.ndarray | None = None  # by word: whether an item of the class has it
-    recall: float = 0.0
+    recall: float = 0.0  # on fresh copies; 1 where the class is searched by pieces
+    exact: bool = False
 
 
 class Index:
@@ -100,6 +105,7 @@ class Index:
             for i in c.items:
                 c.holds[self.sequences[i]] = True
             self._build(c, rng, target_recall)
+        self.pieces = self._pieces([i for c in self.classes if c.exact for i in c.items], rng)
 
     def walk_bits(self, walk: int, steps: int) -> list[np.ndarray]:
         tokens = np.arange(self.pad + 1, dtype=np.uint64) * np.uint64(0x100000001B3)
@@ -121,34 +127,47 @@ class Index:
         return (out[steps].astype(np.uint64) * factors[:, None]).sum(axis=0, dtype=np.uint64)
 
     def _build(self, c: LengthClass, rng: np.random.Generator, target: float) -> None:
-        """Adds keys until edited copies of the class's items are found at the target."""
+        """Adds keys until edited copies of the class's items are found at the target; without
+        keys that do, the class is searched by pieces."""
         stream = np.concatenate([self.sequences[i] for i in c.items])
         starts = np.cumsum([0, *(len(self.sequences[i]) for i in c.items[:-1])])
         own = [self.embed(stream, starts, c.size, w) for w in range(WALKS)]
-        copies, of = [], []
-        for n in range(max(64, min(4 * len(c.items), 256))):
-            i = c.items[n % len(c.items)]
-            copies.append(self._edited(self.sequences[i], allowed(len(self.sequences[i]), self.similarity), rng, c.size))
-            of.append(n % len(c.items))
-        edited = np.concatenate(copies)
-        places = np.cumsum([0, *(len(x) for x in copies[:-1])])
-        theirs = [self.embed(edited, places, c.size, w) for w in range(WALKS)]
-        found, of = np.zeros(len(copies), dtype=bool), np.array(of)
-        while len(c.keys) < MOST_KEYS and found.mean() < target:
+        (chosen, of), (fresh, of_fresh) = self._copies(c, rng), self._copies(c, rng)
+        found, again = np.zeros(of.shape, dtype=bool), np.zeros(of_fresh.shape, dtype=bool)
+        while len(c.keys) < MOST_KEYS and found.mean(axis=1).min() < target:
             walk = len(c.keys) % WALKS
             steps = np.sort(rng.choice(2 * c.size, size=min(SAMPLED, c.size), replace=False))
             factors = rng.integers(1, 1 << 63, size=len(steps), dtype=np.uint64) | np.uint64(1)
             keys = self._hash(own[walk], steps, factors)
-            found |= keys[of] == self._hash(theirs[walk], steps, factors)
+            found |= keys[of] == self._hash(chosen[walk], steps, factors).reshape(of.shape)
+            again |= keys[of_fresh] == self._hash(fresh[walk], steps, factors).reshape(of.shape)
             order = np.argsort(keys, kind="stable")
             c.keys.append((walk, steps, factors))
             c.tables.append((keys[order], np.array(c.items)[order]))
-        c.recall = float(found.mean())
+        c.recall = float(again.mean(axis=1).min())
+        if c.recall < target:
+            c.exact, c.recall, c.keys, c.tables = True, 1.0, [], []
+
+    def _copies(self, c: LengthClass, rng: np.random.Generator) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each walk's output for edited copies of every item, and which item of the class each
+        is of: a row of copies with edits anywhere, a row with edits in the first third."""
+        rounds = -(-256 // len(c.items))
+        of = np.tile(np.arange(len(c.items)), (2, rounds))
+        copies = []
+        for share, row in zip((1, 1 / 3), of, strict=True):
+            for n in row:
+                s = self.sequences[c.items[n]]
+                copies.append(self._edited(s, allowed(len(s), self.similarity), rng, c.size, share))
+        places = np.cumsum([0, *(len(x) for x in copies[:-1])])
+        edited = np.concatenate(copies)
+        # A window starts at a word of the item.
+        places = np.array([p + int(np.argmax(x > 0)) for p, x in zip(places, copies, strict=True)])
+        return [self.embed(edited, places, c.size, w) for w in range(WALKS)], of
 
-    def _edited(self, sequence: np.ndarray, edits: int, rng: np.random.Generator, size: int) -> np.ndarray:
+    def _edited(self, sequence: np.ndarray, edits: int, rng: np.random.Generator, size: int, share: float = 1) -> np.ndarray:
         out = sequence.tolist()
         for _ in range(edits):
-            kind, at = rng.integers(3), int(rng.integers(1, max(2, len(out))))  # a match starts with a word of the item
+            kind, at = rng.integers(3), int(rng.integers(max(1, math.ceil(share * len(out)))))
             if kind == 0:
                 out[at : at + 1] = [0]
             elif kind == 1:
@@ -157,6 +176,24 @@ class Index:
                 del out[at : at + 1]
         return np.array(out + [0] * size, dtype=np.int32)
 
+    def _pieces(self, items: list[int], rng: np.random.Generator) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By length of piece: factors, sorted hashes, and the item and place of each.
+
+        Of allowed + 1 disjoint pieces an edit changes one at most, so a match keeps one."""
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i in items:
+            n, parts = len(self.sequences[i]), allowed(len(self.sequences[i]), self.similarity) + 1
+            by_length.setdefault(max(1, n // parts), []).extend((i, n * p // parts) for p in range(min(n, parts)))
+        out = []
+        for length, rows in sorted(by_length.items()):
+            factors = rng.integers(1, 1 << 63, size=length, dtype=np.uint64) | np.uint64(1)
+            of, at = np.array(rows, dtype=np.int64).T
+            parts = np.array([self.sequences[i][p : p + length] for i, p in rows], dtype=np.uint64)
+            hashes = (parts * factors).sum(axis=1, dtype=np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            out.append((length, factors, hashes[order], of[order], at[order]))
+        return out
+
     def distance(self, stream: np.ndarray, item: int, start: int, first: int = 0, last: int | None = None) -> tuple[int, int, int]:
         """Least edit distance of the item to a stretch of the stream near `start`; where it
         begins and ends. The stretch lies in the text from `first` to `last`."""
@@ -195,9 +232,11 @@ class Index:
         stream = np.array(ids, dtype=np.int32)
         bounds = np.array(first, dtype=np.int64), np.array(last, dtype=np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for piece in self.pieces:
+            self._search(piece, stream, bounds, best)
         for c in self.classes:
             span = max(1, c.size - c.slack)
-            if len(stream) < span:
+            if c.exact or len(stream) < span:
                 continue
             known = c.holds[stream]
             total = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
@@ -222,6 +261,26 @@ class Index:
         for item, found in near.items():
             self._verify(stream, item, np.unique(np.concatenate(found)), bounds, best)
 
+    def _search(self, piece: tuple, stream: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], best: dict) -> None:
+        """Looks up the pieces of one length at every place of the stream."""
+        length, factors, table, of, place = piece
+        total = np.concatenate([[0], np.cumsum(stream > 0, dtype=np.int32)])
+        starts = np.flatnonzero(total[length:] - total[:-length] == length)
+        for n in range(0, len(starts), 20_000):
+            part = starts[n : n + 20_000]
+            hashes = (stream[part[:, None] + np.arange(length)].astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64)
+            lo, hi = np.searchsorted(table, hashes, "left"), np.searchsorted(table, hashes, "right")
+            hit = np.flatnonzero(hi > lo)
+            counts = (hi - lo)[hit]
+            row = np.repeat(lo[hit] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            at = np.repeat(part[hit], counts)
+            # Where the item would begin, if not before the text that holds the piece.
+            begin = np.maximum(at - place[row], bounds[0][np.searchsorted(bounds[0], at, "right") - 1])
+            order = np.lexsort((begin, of[row]))
+            items, begin = of[row][order], begin[order]
+            for item, first, count in zip(*(x.tolist() for x in np.unique(items, return_index=True, return_counts=True)), strict=True):
+                self._verify(stream, item, np.unique(begin[first : first + count]), bounds, best)
+
     def _verify(self, stream: np.ndarray, item: int, starts: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], best: dict) -> None:
         """Puts into `best` where the item stands in the texts that hold the starts. The text is the start's, and
         nothing before or after it counts: swapping a missing word with a gap costs no more than dropping it."""
@@ -233,6 +292,9 @@ class Index:
             text = int(np.searchsorted(first, start, "right")) - 1
             distance, begin, end = self.distance(stream, item, start, int(first[text]), int(last[text]))
             if distance <= allowed(length, self.similarity):
+                # A start far off may have met only a part of the place: look again from where that begins.
+                while (again := self.distance(stream, item, begin, int(first[text]), int(last[text])))[0] < distance:
+                    distance, begin, end = again
                 reached = end
                 place = (distance, int(begin - first[text]), int(end - first[text]))
                 if place < best.get((text, item), (1 << 30,)):

@@ -120,3 +120,21 @@ def test_a_text_that_begins_or_ends_inside_an_item_is_the_one_reported():
     got = {(t, i): (s, e, d) for t, i, s, e, d in index.scan(texts)}
     assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
     assert len(got) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("length", [7, 20, 110, 279])
+def test_recall_meets_the_target_at_every_length_and_place_of_edits(length):
+    rng = random.Random(length)
+    own = [[f"w{rng.randrange(3000)}" for _ in range(length)] for _ in range(60)]
+    index = dc.Index([(i, " ".join(w)) for i, w in enumerate(own)])
+    assert all(c.recall >= 0.97 for c in index.classes)
+    k = dc.allowed(length, 0.8)
+    for part in (1, 3):
+        texts = []
+        for w in own:
+            at = max(k, length // part)
+            texts.append(" ".join([*prose(20, rng), *edited(w[:at], k, rng), *w[at:], *prose(20, rng)]))
+        want = {(i, i) for i, w in enumerate(own) if brute_distance(w, texts[i].split()) <= k}
+        got = {(t, i) for t, i, *_ in index.scan(texts)}
+        assert len(want) == 60 and len(got & want) >= 56
+        assert got & want == want or not all(c.exact for c in index.classes)
