@@ -5,7 +5,9 @@ hexadecimal runs. The method adds what has no form of its own: a run of key char
 a byte-pair vocabulary of natural text spells in few characters a token is random, as words
 and names merge into long tokens and random strings don't. Before that, known digests
 (hexadecimal of a digest's length, integrity strings), UUIDs, numbers and names made of
-plain words are excluded, and so is whatever overlaps a rule's span: rules come first.
+plain words are excluded, and so is whatever overlaps a rule's span: rules come first. A name
+is plain only if the vocabulary spells its words in few tokens. Where a whole run is not
+random, its parts between separators are tested in the same way.
 
 The vocabulary is read on the driver from a path that is a parameter and broadcast (it is
 a fixed file of about a megabyte). Documents are scanned where they lie, whole, without a
@@ -42,9 +44,10 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 INTEGRITY = re.compile(r"sha(1|224|256|384|512)[-=]")
 HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
-PLAIN_PART = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]+")
+PLAIN_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SHORTEST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9]{20,}")
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -63,10 +66,20 @@ def known_form(run: str) -> bool:
     """Digests and identifiers, which are no secrets however random they look."""
     if UUID.fullmatch(run) or INTEGRITY.match(run):
         return True
-    if HEXADECIMAL.fullmatch(run) and len(run) in DIGEST_LENGTHS:
-        return True
-    # Names and paths: parts of plain words (capital first, all capitals) or plain numbers.
-    return all(PLAIN_PART.fullmatch(x) for part in re.split(r"[+/_=-]+", run) for x in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", part) or [""]) and not mixed(run)
+    return bool(HEXADECIMAL.fullmatch(run)) and len(run) in DIGEST_LENGTHS
+
+
+def plain_name(run: str, count_tokens, most_ratio: float) -> bool:
+    """Names and paths of words (capital first, all capitals) that are tokens or are spelt in few, and plain numbers."""
+    if mixed(run):
+        return False
+    words = PLAIN_WORD.findall(run)
+    tokens = [count_tokens(w) for w in words]
+    return all(n == 1 for n in tokens) or sum(map(len, words)) >= most_ratio * sum(tokens)
+
+
+def is_random(run: str, count_tokens, most_ratio: float) -> bool:
+    return not known_form(run) and len(run) / count_tokens(run) <= most_ratio and not plain_name(run, count_tokens, most_ratio)
 
 
 def mixed(run: str) -> bool:
@@ -84,8 +97,10 @@ def random_spans(text: str, taken: list[tuple[int, str, int]], count_tokens, mos
         start, end = m.span()
         if any(s < end and start < e for s, _, e in taken) or known_form(m[0]):
             continue
-        if (end - start) / count_tokens(m[0]) <= most_ratio:
+        if is_random(m[0], count_tokens, most_ratio):
             out.append((start, "random", end))
+        else:
+            out += [(start + p.start(), "random", start + p.end()) for p in PART.finditer(m[0]) if is_random(p[0], count_tokens, most_ratio)]
     return out
 
 

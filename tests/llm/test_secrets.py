@@ -60,3 +60,15 @@ def test_redact_and_empty(spark):
     docs = spark.createDataFrame([(1, "a token=abcdef1 b"), (2, None), (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff".')], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {1: "a [secret] b", 2: None, 3: '[secret]".'}
     assert secrets.scan_secrets(docs.limit(0)).collect() == []
+
+
+def test_random_letters_of_one_case_and_parts_of_plain_paths(count):
+    rng = random.Random(2)
+    path = "path/to/some/file/of/the/international/documentation/directory/"
+    for alphabet in (string.ascii_lowercase, string.ascii_uppercase):
+        for size in (20, 40):
+            runs = ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(100)]
+            assert sum(secrets.random_spans(f"key {r} end", [], count, 2.4) == [(4, "random", 4 + size)] for r in runs) >= 98
+            assert sum(bool(secrets.random_spans(path + r + "/information/management", [], count, 2.4)) for r in runs) >= 98
+    for name in (path, path * 3, "some_module_with_a_long_name", "com/example/application/configuration/DatabaseConnection", "1234567890-1234567890-1234567890"):
+        assert secrets.random_spans(name, [], count, 2.4) == []
