@@ -12,12 +12,13 @@ Template. A user's turn is `[INST] text [/INST]`, an assistant's `<s>text</s>`,
 replaced by the escape sign and a letter, the sign itself first, so texts that hold control
 strings can't end a turn and come back unchanged.
 
-Everything is built-in functions; one shuffle brings a conversation together. A rendered
-conversation is one value, so a conversation is the unit that has to fit a task.
+Everything is built-in functions; one shuffle brings a message together and one a
+conversation. A rendered conversation is one value, so it is the unit that has to fit a task.
 
 Defined cases. Null text is empty. A null role is rendered by a sign of its own and read
-back as null; digests take it as empty. Null conversation ids form one conversation. Equal
-sequence numbers go by message, kind, role and text. Repeated rows are events of their own.
+back as null; digests take it as empty. Null conversation ids form one conversation. Events
+of equal number go by kind, role and text; messages that begin at equal numbers go by role
+and text, as they are in the end. Repeated rows are events of their own.
 An empty log gives an empty result. Extra columns are ignored."""
 
 from __future__ import annotations
@@ -50,31 +51,23 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, messages): each message with role and text, in order.
 
     `events` has conv_id, seq, message, kind, role and text; null kind means delta. The
-    first aggregation folds a message, the second lines a conversation's messages up; both
-    are keyed by the conversation first, so they share one shuffle."""
-    kind = F.coalesce(F.col("kind"), F.lit("delta"))
-    event = F.struct(F.col("seq"), F.col("message"), kind.alias("kind"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    logs = events.select("conv_id", event.alias("event")).groupBy("conv_id").agg(F.sort_array(F.collect_list("event")).alias("log"))
+    first aggregation brings the events of a message together and folds them, the second
+    lines the messages of a conversation up; so a long conversation's events are folded by
+    many tasks and only finished messages meet in one."""
+    event = F.struct(F.col("seq"), F.coalesce(F.col("kind"), F.lit("delta")).alias("kind"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    logs = events.select("conv_id", "message", event.alias("event")).groupBy("conv_id", "message").agg(F.sort_array(F.collect_list("event")).alias("log"))
 
-    def text_of(log: Column) -> Column:
+    def folded(log: Column) -> Column:
         # After the last reset of a message only deltas follow; an edit is its own first piece.
         last = F.coalesce(F.array_max(F.transform(log, lambda e, i: F.when(e["kind"] != "delta", i))), F.lit(0))
-        tail = let(last, lambda k: F.filter(log, lambda e, i: i >= k))
-        return F.array_join(F.transform(F.filter(tail, lambda e: e["kind"].isin("delta", "edit")), lambda e: e["text"]), "")
-
-    def message_of(log: Column) -> Column:
+        tail = let(last, lambda k: F.filter(log, lambda e, i: (i >= k) & e["kind"].isin("delta", "edit")))
         roles = F.filter(F.transform(log, lambda e: e["role"]), lambda r: r.isNotNull())
-        return F.struct(F.get(roles, F.size(roles) - 1).alias("role"), text_of(log).alias("text"), (F.element_at(log, -1)["kind"] == "delete").alias("gone"))
-
-    # A log whose messages have one event each, as a finished table has, is lined up directly.
-    def fold(log: Column) -> Column:
-        ids = F.transform(log, lambda e: e["message"])
-        return let(ids, lambda m: F.when(
-            F.size(F.array_distinct(m)) == F.size(m), F.transform(log, lambda e: message_of(F.array(e)))
-        ).otherwise(F.transform(F.array_distinct(m), lambda one: message_of(F.filter(log, lambda e: e["message"].eqNullSafe(one))))))
+        return F.when(F.element_at(log, -1)["kind"] != "delete", F.struct(
+            log[0]["seq"].alias("seq"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), roles), -1).alias("role"), F.array_join(F.transform(tail, lambda e: e["text"]), "").alias("text"),
+        ))
 
-    messages = logs.select("conv_id", let(F.col("log"), fold).alias("messages"))
-    return messages.select("conv_id", F.transform(F.filter("messages", lambda m: ~m["gone"]), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
+    messages = logs.select("conv_id", let(F.col("log"), folded).alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    return messages.select("conv_id", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def render(messages: Column) -> Column:
@@ -129,12 +122,23 @@ def digests(formatted: DataFrame) -> DataFrame:
     )
 
 
-def events_of(conversations: DataFrame) -> DataFrame:
-    """A finished table as a log: each row is the one delta of its own message."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("seq"), F.struct("turn", "role", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row")).alias("message"),
-        F.lit("delta").alias("kind"), "role", "text",
-    )
+def events_of(conversations: DataFrame, piece_chars: int = 400) -> DataFrame:
+    """A finished table as the log of a chat that led to it: each row is a message of its own.
+
+    Every text is streamed in deltas of up to `piece_chars` characters. An assistant's first
+    try is broken off and generated anew; a user's first try is edited, so the first piece
+    comes as the edit. Neither try is in the result."""
+    text, answer = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role") == ASSISTANT, F.lit(False))
+    size = F.char_length(text)
+    draft = F.concat(F.substr(text, F.lit(1), F.lit(piece_chars)), F.lit(" ..."))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / piece_chars).cast("int")), lambda i: F.substr(text, i * piece_chars + 1, F.lit(piece_chars)))
+    event = lambda kind, role, value: F.struct(kind.alias("kind"), role.alias("role"), value.alias("text"))
+    none, role = F.lit(None).cast("string"), F.col("role")
+    first = F.array(event(F.lit("delta"), role, draft), event(F.when(answer, "regenerate").otherwise("edit"), none, F.when(~answer, F.substr(text, F.lit(1), F.lit(piece_chars)))))
+    rest = F.transform(pieces, lambda p, i: F.when((i > 0) | answer, event(F.lit("delta"), none, p)))
+    log = F.concat(first, F.filter(rest, lambda e: e.isNotNull()))
+    rows = conversations.select("conv_id", "turn", F.monotonically_increasing_id().alias("message"), log.alias("log")).select("conv_id", "turn", "message", F.posexplode("log").alias("step", "e"))
+    return rows.select("conv_id", F.struct("turn", "step").alias("seq"), "message", "e.kind", "e.role", "e.text")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,12 @@ def words_of(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place."""
+    Only where that is unset and driver and executors are one process, as in local tests, a
+    temporary folder takes its place; on a cluster it would be another folder on each machine."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.drumlin.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="drumlin-")
         spark.conf.set("spark.drumlin.scratch", path)
     return f"{path.rstrip('/')}/drumlin-{spark.sparkContext.applicationId}"
@@ -66,9 +71,12 @@ def forget(df: DataFrame) -> None:
             delete_folder(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: texts differ in length by four orders of magnitude."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows: Spark bounds the bytes of a batch, but Python objects made of a
+    whole batch, and what is computed from them, would take several times as much."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -23,7 +23,8 @@ from one block of items of bounded size, and a larger benchmark is scanned in bl
 Defined cases. Null or empty documents hold nothing. Items under `min_words` words (five)
 are ignored, as any prose would match them. Repeated rows are reported each; a document
 that holds an item twice reports its best place. An empty table on either side gives an
-empty result. Extra columns of any name are kept by drop_contaminated()."""
+empty result. Ids are of any type that can be ordered. Extra columns of any name are kept by
+drop_contaminated()."""
 
 from __future__ import annotations
 
@@ -36,13 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from drumlin.llm.common import small_batches
+from drumlin.llm.common import in_slices
 
 WORD = re.compile(r"\w+")
 BLOCK_CHARS = 2_000_000
 WALKS, SAMPLED, MOST_KEYS = 3, 3, 192
-SCHEMA = "item_id long, start_word int, end_word int, distance int, similarity double"
+SCHEMA = "item_id {}, start_word int, end_word int, distance int, similarity double"
 
 
 def words(text: str | None) -> list[str]:
@@ -326,7 +328,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) ->
     for b in range(n):
         part = benchmark.where(F.pmod(F.xxhash64(f"`{item_id}`", f"`{text}`"), F.lit(n)) == b) if n > 1 else benchmark
         rows = part.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).distinct().collect()
-        yield sorted(((r.i, r.t) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+        yield sorted(((r.i, r.t) for r in rows), key=lambda x: (x[0] is not None, () if x[0] is None else (x[0],), x[1] or ""))
 
 
 def find_contamination(
@@ -336,27 +338,28 @@ def find_contamination(
     """(doc_id, item_id, start_word, end_word, distance, similarity): what documents hold
     of the benchmark; a row for each document and item."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").cast("string").alias("__text"))
+    item_kind = benchmark.schema[item_id].dataType
+    item_type = to_arrow_type(item_kind)
     out = None
     for items in _blocks(benchmark, item_id, item_text, block_chars):
         index = spark.sparkContext.broadcast(Index(items, similarity, target_recall, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             held = index.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 found = held.scan(batch.column(1).to_pylist()) if held.ids else []
                 lengths = [len(held.sequences[f[1]]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([held.ids[f[1]] for f in found], pa.int64()),
+                        batch.column(0).take(pa.array([f[0] for f in found], pa.int64())), pa.array([held.ids[f[1]] for f in found], item_type),
                         pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.int32()),
                         pa.array([1 - f[4] / n for f, n in zip(found, lengths, strict=True)], pa.float64()),
                     ],
                     names=[id_col, "item_id", "start_word", "end_word", "distance", "similarity"],
                 )
 
-        schema = f"`{id_col}` {dict(source.dtypes)[id_col]}, {SCHEMA}"
+        schema = f"`{id_col}` {dict(source.dtypes)[id_col]}, {SCHEMA.format(item_kind.simpleString())}"
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     return out
@@ -368,7 +371,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     The rows pass through the scan once and those that hold nothing come out as they went
     in, so there is no join and ids need not be unique."""
     spark = docs.sparkSession
-    small_batches(spark)
     item_id, item_text = options.pop("item_id", "item_id"), options.pop("item_text", "text")
     block_chars = options.pop("block_chars", BLOCK_CHARS)
     at = docs.columns.index(text)
@@ -377,7 +379,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             held = index.value
-            for batch in batches:
+            for batch in in_slices(batches):
                 bad = {f[0] for f in held.scan(batch.column(at).to_pylist())} if held.ids else set()
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
 

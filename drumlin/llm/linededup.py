@@ -2,16 +2,17 @@
 
 A document is the sequence of its lines that hold a word. A gram is the shortest run of
 lines from a given line that holds `gram_words` words; a window is the shortest run from a
-line that holds `min_words` words, and of the grams inside a window the one with the least
-hash is its fingerprint (the last one in a tie). Two documents that share a run of
-`min_words` words or more share a whole window and hence its fingerprint.
+line, or up to a line, that holds `min_words` words, and of the grams inside a window the one
+with the least hash is its fingerprint (the last one in a tie). Two documents that share a
+run of `min_words` words or more share whole windows and hence their fingerprints.
 
 Only places whose fingerprint occurs twice go on. Their windows are joined to the first
 place that has the same window (by document id, then row, then line), so a match holds
 `min_words` words from the start. Matches of one pair of documents on one diagonal are
 extended line by line both ways, and the later run goes. A window meets its first place
-only, so a passage in n documents costs n rows, not n * n: all its windows go, while a few
-lines after the last window that another earlier document shares may stay.
+only, so a passage in n documents costs n rows, not n * n. A run that only some other
+earlier document shares goes all the same, as each of its lines lies in a window of its own
+that has an earlier place: the result is that of comparing all pairs of documents.
 
 A document is known by a digest of its id and text, computed wherever it is read, so no
 copy of the texts is written. Lines are compared by 64-bit hashes. Joins and minima by fingerprint pre-aggregate or
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drumlin.llm.common import free_name, let, materialize, small_batches
+from drumlin.llm.common import free_name, in_slices, let, materialize
 
 LONG = pa.list_(pa.int64())
 
@@ -60,7 +61,24 @@ def ends_of(counts: np.ndarray, words: int) -> np.ndarray:
     return np.where(ends < len(total), ends, -1)
 
 
-def fingerprints(hashes: list[int], counts: list[int], gram_words: int, min_words: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def runs_to_match(counts: np.ndarray, at: list[int], min_words: int) -> list[tuple[int, int]]:
+    """The runs (start, end) that are looked for elsewhere, all of `min_words` words or more:
+    the shortest from each line, the shortest up to each line, and two lines around blank
+    ones if one of them is a run by itself.
+
+    A longer run is their union: what lies before the end of the first shortest run of it is
+    in that, any later line ends a shortest run inside it."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    ends = ends_of(counts, min_words)
+    runs = {(i, e) for i, e in enumerate(ends.tolist()) if e >= 0}
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    runs |= {(i, j + 1) for j, i in enumerate(starts.tolist()) if i >= 0}
+    alone = counts >= min_words
+    runs |= {(int(i), int(i) + 2) for i in np.flatnonzero(alone[:-1] | alone[1:]) if at[i + 1] > at[i] + 1}
+    return sorted(runs)
+
+
+def fingerprints(hashes: list[int], counts: list[int], gram_words: int, min_words: int, at: list[int] | None = None) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(line, fingerprint, windows): the least gram of each window, each place once, with the
     windows (line, hash of all their lines) that chose it."""
     if sum(counts) < min_words:
@@ -68,13 +86,11 @@ def fingerprints(hashes: list[int], counts: list[int], gram_words: int, min_word
     import xxhash
 
     sizes = np.array(counts)
-    grams, windows = ends_of(sizes, gram_words), ends_of(sizes, min_words)
+    grams = ends_of(sizes, gram_words)
     raw = np.array(hashes, dtype=np.int64).tobytes()
     value = [xxhash.xxh64_intdigest(raw[8 * i : 8 * e]) - (1 << 63) if e >= 0 else None for i, e in enumerate(grams.tolist())]
     chosen: dict[int, list[tuple[int, int]]] = {}
-    for i, end in enumerate(windows.tolist()):
-        if end < 0:
-            break
+    for i, end in runs_to_match(sizes, at or list(range(len(counts))), min_words):
         # Grams inside lines i..end-1; starts go up with their ends, and i itself is always inside.
         best = i
         for j in range(i + 1, end):
@@ -106,13 +122,10 @@ def extend(own: list[int], other: list[int], own_counts: list[int], matches: lis
 
 def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFrame:
     """(row, runs): raw line ranges to delete, from a table (row, id, text); `row` is a string."""
-    spark = rows.sparkSession
-    small_batches(spark)
-
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             got = [hash_lines(t) for t in batch.column(2).to_pylist()]
-            prints = [fingerprints(h, c, gram_words, min_words) for h, c, _ in got]
+            prints = [fingerprints(h, c, gram_words, min_words, a) for h, c, a in got]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), *(pa.array([g[k] for g in got], LONG) for k in range(3)),
@@ -142,7 +155,7 @@ def repeated_runs(rows: DataFrame, *, gram_words: int, min_words: int) -> DataFr
     both = pairs.join(own, "row").join(other, "first_row").select("row", "first_row", "matches", "hashes", "counts", "at", "first_hashes")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             out_rows, starts, ends = [], [], []
             for r in batch.to_pylist():
                 matches = [(m["start"], m["first_start"]) for m in r["matches"]]
@@ -160,7 +173,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     """`docs` with its cleaned text, deleted runs, numbers of lines and of deleted lines, and
     the names of those columns."""
     names = {k: free_name(docs, f"__{k}") for k in ("row", "clean", "runs", "n_lines", "n_deleted")}
-    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary"))
+    # The id's length stands before it, so no id and text run into one another; a null id has none.
+    own_id = F.col(f"`{id_col}`").cast("string")
+    key = F.md5(F.concat(F.coalesce(F.octet_length(own_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(own_id, F.lit("")), F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary"))
     rows = docs.select(key.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     runs = materialize(repeated_runs(rows, gram_words=gram_words, min_words=min_words), "runs").toDF(names["row"], names["runs"])
     # Always by a shuffle: deletions grow with the corpus, and a plan that broadcasts them

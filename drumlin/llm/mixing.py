@@ -8,9 +8,12 @@ to the others. A document is then kept with the probability fitted tokens / toke
 cell, by a hash of its id and text, so a rerun on any number of executors keeps the same.
 
 Only cells leave the executors, and only up to `cell_limit` of them are raked on the
-driver; more are raked by the same sweeps over DataFrames. Documents meet their cell's
+driver; more are raked by the same sweeps, as many, over DataFrames. Documents meet their cell's
 probability in a join that broadcasts up to `cell_limit` cells and shuffles beyond.
 
+Targets that no weights can meet (a cell gives no more than it has) are reported: the fit
+ends with the gap between each marginal and its target, and warns where one is left.
+
 Defined cases. Null or empty text has no tokens: it counts nowhere, and a cell without
 tokens has probability 0. Null source, language or topic is a value of its own. A value
 without a target has target 0 if explicit targets are given; targets of absent values are
@@ -19,6 +22,7 @@ empty result. Extra columns are kept and may bear any name."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -29,6 +33,9 @@ from drumlin.llm.common import forget, free_name, materialize, words_of
 
 DIMENSIONS = ("source", "lang", "topic")
 CELL_LIMIT = 200_000
+SWEEPS, TOLERANCE = 200, 1e-9
+#: A share of the budget by which a marginal may miss its target before a warning.
+UNMET = 1e-3
 # What marks a topic, in order of precedence; at least one mark in `MARK_WORDS` words.
 TOPICS = {"tabular": r"\|", "markup": r"[#*$%&<>]+", "numeric": r"[0-9]+", "exclamation": "!+"}
 MARK_WORDS = 10
@@ -64,7 +71,7 @@ def _targets(values: list, sums: np.ndarray, given: Mapping | float) -> np.ndarr
     return natural_targets(sums / sums.sum() if sums.sum() else sums, given)
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], budget: float, sweeps: int = 200, tolerance: float = 1e-9) -> np.ndarray:
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], budget: float, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fitted tokens of each cell; they sum to `budget` as far as capacity allows."""
     fitted = tokens.astype(float) * (budget / tokens.sum() if tokens.sum() else 0)
     for _ in range(sweeps):
@@ -78,8 +85,9 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return fitted
 
 
-def rake_table(cells: DataFrame, targets: Mapping[str, Mapping | float], budget: float, sweeps: int = 30) -> DataFrame:
-    """The same sweeps over a table of cells that is too large for the driver."""
+def rake_table(cells: DataFrame, targets: Mapping[str, Mapping | float], budget: float, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The same sweeps, by the same stop rule, over a table of cells that is too large for the
+    driver; and the marginals' targets, (value, target) by dimension."""
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     marginals = {}
     for d in DIMENSIONS:
@@ -104,31 +112,54 @@ def rake_table(cells: DataFrame, targets: Mapping[str, Mapping | float], budget:
         moved = new.agg(F.max(F.abs(F.col("fitted") - F.col("__before")))).first()[0] or 0
         forget(fitted)
         fitted = new.drop("__before")
-        if moved <= 1e-9 * max(budget, 1):
+        if moved <= tolerance * max(budget, 1):
             break
-    return fitted
-
-
-def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping | float], fraction: float, cell_limit: int = CELL_LIMIT) -> tuple[DataFrame, bool]:
-    """cells with `fitted` and `probability`; whether they are few enough to broadcast."""
+    return fitted, {d: m.select(F.col("__v").alias("value"), F.col("__target").alias("target")) for d, m in marginals.items()}
+
+
+def unmet(fitted: DataFrame, targets: Mapping[str, DataFrame], budget: float) -> DataFrame:
+    """(dimension, value, share, target, gap): each marginal's fitted share of the budget and
+    the share it should have. A gap that is not near 0 is a target that the cells' capacities
+    or their pattern don't allow."""
+    rows = []
+    for d, wanted in targets.items():
+        sums = fitted.groupBy(F.col(d).alias("v")).agg(F.sum("fitted").alias("sum"))
+        both = sums.join(wanted, sums["v"].eqNullSafe(wanted["value"]), "left")
+        share, target = F.col("sum") / max(budget, 1e-300), F.coalesce("target", F.lit(0.0)) / max(budget, 1e-300)
+        rows.append(both.select(F.lit(d).alias("dimension"), F.col("v").alias("value"), share.alias("share"), target.alias("target"), (share - target).alias("gap")))
+    return rows[0].unionAll(rows[1]).unionAll(rows[2])
+
+
+def fit_cells(cells: DataFrame, targets: Mapping[str, Mapping | float], fraction: float, cell_limit: int = CELL_LIMIT) -> tuple[DataFrame, bool, DataFrame]:
+    """cells with `fitted` and `probability`; whether they are few enough to broadcast; and
+    unmet() of the fit. Where a marginal misses its target by more than UNMET of the budget,
+    a warning says by how much: the fit is then the nearest that the sweeps have reached."""
     small = cells.count() <= cell_limit
+    spark = cells.sparkSession
     if small:
         frame = cells.select(*DIMENSIONS, "tokens").toPandas()
         tokens = frame["tokens"].to_numpy(dtype=float)
-        codes, wanted = [], []
+        budget = fraction * tokens.sum()
+        codes, wanted, marginals = [], [], {}
         for d in DIMENSIONS:
             column = frame[d].astype(object).where(frame[d].notna(), None)
             values = sorted(set(column), key=lambda v: (v is not None, v))
             at = {v: i for i, v in enumerate(values)}
             codes.append(np.array([at[v] for v in column], dtype=np.int64))
             wanted.append(_targets(values, np.bincount(codes[-1], tokens, minlength=len(values)), targets[d]))
-        frame["fitted"] = rake(tokens, codes, wanted, fraction * tokens.sum())
+            marginals[d] = spark.createDataFrame([(v, float(t * budget)) for v, t in zip(values, wanted[-1], strict=True)], "value string, target double")
+        frame["fitted"] = rake(tokens, codes, wanted, budget)
         rows = [(*(None if v is None or v != v else v for v in r[:3]), int(r[3]), float(r[4])) for r in frame[[*DIMENSIONS, "tokens", "fitted"]].itertuples(index=False)]
-        fitted = cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, tokens long, fitted double")
+        fitted = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, fitted double")
     else:
         total = cells.agg(F.sum("tokens")).first()[0] or 0
-        fitted = rake_table(cells, targets, fraction * total)
-    return fitted.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.col("fitted") / F.col("tokens"), F.lit(1.0))).otherwise(0.0)), small
+        budget = fraction * total
+        fitted, marginals = rake_table(cells, targets, budget)
+    gaps = unmet(fitted, marginals, budget)
+    worst = gaps.orderBy(F.abs("gap").desc(), "dimension", "value").first()
+    if worst is not None and abs(worst["gap"]) > UNMET:
+        warnings.warn(f"the targets can't be met: {worst['dimension']} {worst['value']} gets {worst['share']:.4f} of the budget, not {worst['target']:.4f}", stacklevel=3)
+    return fitted.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.col("fitted") / F.col("tokens"), F.lit(1.0))).otherwise(0.0)), small, gaps
 
 
 def mix(
@@ -149,7 +180,7 @@ def mix(
     if slim:
         df = materialize(df.select(f"`{id_col}`", *(names[k] for k in ("tokens", "source", "lang", "topic", "draw"))), "cells")
     cells = df.groupBy(*(F.col(names[d]).alias(d) for d in DIMENSIONS)).agg(F.sum(names["tokens"]).alias("tokens"))
-    fitted, small = fit_cells(materialize(cells, "cell-sums"), targets, fraction, cell_limit)
+    fitted, small, _ = fit_cells(materialize(cells, "cell-sums"), targets, fraction, cell_limit)
     whole = fitted.agg(F.sum("tokens"), F.sum("fitted")).first()
     ratio = float(whole[0] or 0) / float(whole[1]) if whole[1] else 0.0
     keys = {d: free_name(df, f"__key_{d}") for d in DIMENSIONS}

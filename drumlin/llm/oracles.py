@@ -33,12 +33,13 @@ FROM d
 
 def quality() -> str:
     """The quality rules with their default bounds."""
-    from drumlin.llm.quality import COMMON_WORDS
+    from drumlin.llm.quality import COMMON_WORDS, PROSE, PROSE_LIMIT
 
     lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
     share = lambda v: f"list_transform({v}, lambda x: CASE WHEN list_sum({v}) > 0 THEN x / list_sum({v}) ELSE 0.0::DOUBLE END)"
     term = lambda x: f"CASE WHEN {x}[i] > 0 THEN {x}[i] * log2({x}[i] / ((p[i] + q[i]) / 2)) ELSE 0.0::DOUBLE END"
     divergence = f"list_sum(list_transform(range(1, len(p) + 1), lambda i: {term('p')} + {term('q')})) / 2"
+    prose = f"[{', '.join(f'{x}::DOUBLE' for x in PROSE.values())}]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS s0, CASE lang {lists} END AS known FROM d),
@@ -47,18 +48,20 @@ s4 AS (SELECT *, regexp_replace(s3, '[#*$%&|<>]+', '', 'g') AS s4 FROM s3), s5 A
 c AS (SELECT rid, doc_id, lang, words, known, t, len(words) AS n_words, length(s0) AS word_chars, length(s3) - length(s4) AS n_symbols,
   list_transform([length(t) - length(s0), length(s0) - length(s1), length(s1) - length(s2), length(s2) - length(s3), length(s3) - length(s4), length(s4) - length(s5), length(s5) - length(s6), length(s6)], lambda x: x::DOUBLE) AS chars,
   list_transform(range(1, 15), lambda k: coalesce(len(list_filter(words, lambda x: x = known[k])), 0)::DOUBLE) AS bins FROM s6),
-h AS (SELECT *, list_concat(bins, [n_words - list_sum(bins)]) AS counts FROM c),
-r AS (SELECT lang, list(s ORDER BY k) AS ref FROM (SELECT lang, k, sum(chars[k]) AS s FROM h, range(1, 9) AS g(k) GROUP BY lang, k) GROUP BY lang),
-v AS (SELECT lang, list(s ORDER BY k) AS ref FROM (SELECT lang, k, sum(counts[k]) AS s FROM h, range(1, 16) AS g(k) GROUP BY lang, k) GROUP BY lang),
-jc AS (SELECT rid, {divergence} AS char_divergence FROM (SELECT rid, {share('chars')} AS p, {share('ref')} AS q FROM h JOIN r ON h.lang IS NOT DISTINCT FROM r.lang)),
-jw AS (SELECT rid, {divergence} AS word_divergence FROM (SELECT rid, {share('counts')} AS p, {share('ref')} AS q FROM h JOIN v ON h.lang IS NOT DISTINCT FROM v.lang)),
+h0 AS (SELECT *, list_concat(bins, [n_words - list_sum(bins)]) AS counts, [chars[2] + chars[3] + chars[7], chars[1], chars[4], chars[5], chars[6], chars[8]] AS kinds FROM c),
+h AS (SELECT *, {divergence} AS prose FROM (SELECT *, {share('kinds')} AS p, {share(prose)} AS q FROM h0)),
+clean AS (SELECT * FROM h WHERE word_chars >= 200 AND prose <= {PROSE_LIMIT}),
+r AS (SELECT lang, list(s ORDER BY k) AS ref FROM (SELECT lang, k, sum(chars[k]) AS s FROM clean, range(1, 9) AS g(k) GROUP BY lang, k) GROUP BY lang),
+v AS (SELECT lang, list(s ORDER BY k) AS ref FROM (SELECT lang, k, sum(counts[k]) AS s FROM clean, range(1, 16) AS g(k) GROUP BY lang, k) GROUP BY lang),
+jc AS (SELECT rid, {divergence} AS char_divergence FROM (SELECT rid, {share('chars')} AS p, {share('ref')} AS q FROM h0 JOIN r ON h0.lang IS NOT DISTINCT FROM r.lang)),
+jw AS (SELECT rid, {divergence} AS word_divergence FROM (SELECT rid, {share('counts')} AS p, {share('ref')} AS q FROM h0 JOIN v ON h0.lang IS NOT DISTINCT FROM v.lang)),
 win AS (SELECT rid, i, array_to_string(words[i : i + 4], ' ') AS g FROM (SELECT rid, words, unnest(range(1, n_words - 3)) AS i FROM h WHERE n_words >= 5)),
 dup AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
 ln AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM h) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 f AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-  n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed, char_divergence, word_divergence, known
-  FROM h JOIN jc USING (rid) JOIN jw USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN ln USING (rid))
+  n_words < 10 OR 100 * coalesce(rep.n, 0) > 20 * n_words AS base_failed, coalesce(char_divergence, prose) AS char_divergence, coalesce(word_divergence, 0) AS word_divergence, known
+  FROM h LEFT JOIN jc USING (rid) LEFT JOIN jw USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN ln USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(char_divergence, 6) AS char_divergence, round(word_divergence, 6) AS word_divergence,
   NOT (base_failed OR (word_chars >= 200 AND char_divergence > 0.08) OR (n_words >= 80 AND known IS NOT NULL AND word_divergence > 0.08)) AS kept
 FROM f

@@ -36,7 +36,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from drumlin.llm.quality import quality_rules
 
-    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang")
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False).drop("lang")
     # Rounded for comparison with other engines; kept goes by the figures as they are.
     return out.withColumns({c: F.round(c, 6) for c in ("char_divergence", "word_divergence")})
 

@@ -7,7 +7,9 @@ and names merge into long tokens and random strings don't. Before that, known di
 (hexadecimal of a digest's length, integrity strings), UUIDs, numbers and names made of
 plain words are excluded, and so is whatever overlaps a rule's span: rules come first. A name
 is plain only if the vocabulary spells its words in few tokens. Where a whole run is not
-random, its parts between separators are tested in the same way.
+random, its parts between separators are tested in the same way; where it is, plain words
+before the first and after the last random part, set off by slashes or equal signs, are no
+part of the span.
 
 The vocabulary is read on the driver from a path that is a parameter and broadcast (it is
 a fixed file of about a megabyte). Documents are scanned where they lie, whole, without a
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drumlin.llm.common import small_batches
+from drumlin.llm.common import in_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the vocabulary's published splitting pattern.
@@ -47,6 +49,7 @@ HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 PLAIN_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 SHORTEST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SEGMENT = re.compile(r"[^/=]+")
 PART = re.compile(r"[A-Za-z0-9]{20,}")
 
 
@@ -89,6 +92,19 @@ def mixed(run: str) -> bool:
     return changes * 6 >= len(kinds)
 
 
+def without_plain_ends(run: str, count_tokens, most_ratio: float) -> tuple[int, int]:
+    """Where the random part of a random run begins and ends."""
+    plain = lambda p: not p or (not mixed(p) and plain_name(p, count_tokens, most_ratio))
+    parts = [(m.start(), m.end()) for m in SEGMENT.finditer(run)]
+    while len(parts) > 1 and plain(run[slice(*parts[0])]):
+        parts.pop(0)
+    while len(parts) > 1 and plain(run[slice(*parts[-1])]):
+        parts.pop()
+    start, end = parts[0][0], parts[-1][1]
+    end += len(run[end:]) - len(run[end:].lstrip("="))  # padding belongs to what it pads
+    return (start, end) if end - start >= SHORTEST else (0, len(run))
+
+
 def random_spans(text: str, taken: list[tuple[int, str, int]], count_tokens, most_ratio: float) -> list[tuple[int, str, int]]:
     if max(map(len, text.split()), default=0) < SHORTEST:
         return []
@@ -98,7 +114,8 @@ def random_spans(text: str, taken: list[tuple[int, str, int]], count_tokens, mos
         if any(s < end and start < e for s, _, e in taken) or known_form(m[0]):
             continue
         if is_random(m[0], count_tokens, most_ratio):
-            out.append((start, "random", end))
+            first, last = without_plain_ends(m[0], count_tokens, most_ratio)
+            out.append((start + first, "random", start + last))
         else:
             out += [(start + p.start(), "random", start + p.end()) for p in PART.finditer(m[0]) if is_random(p[0], count_tokens, most_ratio)]
     return out
@@ -138,14 +155,13 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 
     `most_ratio` is the largest number of characters a token at which a run is random."""
     spark = docs.sparkSession
-    small_batches(spark)
     raw = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
     source = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text}`").cast("string").alias("__text"))
     names = [id_col, "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(raw.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [scan_text(t, count, most_ratio) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
@@ -156,7 +172,6 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", vocabulary: str = VOCABULARY, most_ratio: float = 2.4) -> DataFrame:
     """`docs` with every span in `text` replaced by `mark`; overlapping spans become one."""
     spark = docs.sparkSession
-    small_batches(spark)
     raw = spark.sparkContext.broadcast(load_vocabulary(vocabulary))
     at = docs.columns.index(text)
 
@@ -173,7 +188,7 @@ def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", vocab
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(raw.value)
-        for batch in batches:
+        for batch in in_slices(batches):
             yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t, count) for t in batch.column(at).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -105,22 +105,23 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
 
     A group is known by the SHA-256 of its text. grown_shard is null: under this law one
     more shard means a new balance, not a move of few rows."""
-    kept = [c for c in docs.columns if c not in (*ADDED, text)]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(k) for k, c in _sizes(text).items()), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256).alias("__group"))
+    kept = [c for c in docs.columns if c.lower() not in (*ADDED, text.lower())]
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own")  # extra columns meet no name used here
+    rows = docs.select(own, F.col(f"`{id_col}`").alias("id"), *(c.alias(k) for k, c in _sizes(text).items()), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256).alias("item"))
     rows = materialize(rows, "sized")
-    groups = materialize(rows.groupBy(F.col("__group").alias("item")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    groups = materialize(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
     large, lumps = assign_groups(groups.select("item", "bytes"), shards, grain)
     n = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-n // rows_per_bucket))
-    bucket = F.pmod(F.xxhash64(f"`{id_col}`", "text_crc32", "size", F.spark_partition_id()), F.lit(buckets))
-    dealt = rows.withColumns({"__bucket": bucket, "__lump": lump_of("__group", grain)})
-    dealt = dealt.join(F.broadcast(large.select(F.col("item").alias("__group"), F.col("shard").alias("__large"))), "__group", "left")
-    dealt = dealt.join(F.broadcast(lumps.select(F.col("lump").alias("__lump"), F.col("shard").alias("__small"))), "__lump", "left")
-    placed = materialize(dealt.withColumn("shard", F.coalesce("__large", "__small")).drop("__lump", "__large", "__small"), "placed")
-    counts = placed.groupBy("shard", "__bucket").count()
-    before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.select("shard", "__bucket", "__before")
-    rank = F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy(f"`{id_col}`", "text_crc32", "__group"))
-    return placed.withColumn("__rank", rank).join(before, ["shard", "__bucket"]).select(
-        *(F.col(f"`{c}`") for c in kept), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("__before") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    bucket = F.pmod(F.xxhash64("id", "text_crc32", "size", F.spark_partition_id()), F.lit(buckets))
+    dealt = rows.withColumns({"bucket": bucket, "lump": lump_of("item", grain)})
+    dealt = dealt.join(F.broadcast(large.withColumnRenamed("shard", "large")), "item", "left")
+    dealt = dealt.join(F.broadcast(lumps.withColumnRenamed("shard", "small")), "lump", "left")
+    placed = materialize(dealt.withColumn("shard", F.coalesce("large", "small")).drop("lump", "large", "small"), "placed")
+    counts = placed.groupBy("shard", "bucket").count()
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select("shard", "bucket", "before")
+    rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "item"))
+    return placed.withColumn("rank", rank).join(before, ["shard", "bucket"]).select(
+        *(F.col(f"own.`{c}`") for c in kept), "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

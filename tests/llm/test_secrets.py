@@ -72,3 +72,20 @@ def test_random_letters_of_one_case_and_parts_of_plain_paths(count):
             assert sum(bool(secrets.random_spans(path + r + "/information/management", [], count, 2.4)) for r in runs) >= 98
     for name in (path, path * 3, "some_module_with_a_long_name", "com/example/application/configuration/DatabaseConnection", "1234567890-1234567890-1234567890"):
         assert secrets.random_spans(name, [], count, 2.4) == []
+
+
+def test_span_leaves_out_plain_ends(count):
+    rng = random.Random(3)
+    for _ in range(50):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        run = f"src/main/{key}/index"
+        assert secrets.random_spans(run, [], count, 2.4) == [(9, "random", 49)]
+        padded = "key/" + key + "=="
+        assert secrets.random_spans(padded, [], count, 2.4) == [(4, "random", 46)]
+
+
+def test_one_very_long_text(spark):
+    text = "word " * 400_000 + "token=abcdef1 " + "Zx9" * 10
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scan_secrets(docs).first()
+    assert row.n_assign == 1 and row.spans.startswith("assign:2000000:2000013")

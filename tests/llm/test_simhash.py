@@ -7,7 +7,7 @@ from drumlin.llm import simhash
 from drumlin.llm.components import connected_components
 
 
-def brute_components(fps):
+def brute_components(fps, radius=2, others=None, second=0):
     ids, parent = list(range(len(fps))), list(range(len(fps)))
 
     def find(x):
@@ -18,12 +18,16 @@ def brute_components(fps):
 
     for i in ids:
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= radius and (others is None or (others[i] ^ others[j]).bit_count() <= second):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return [find(i) for i in ids]
 
 
+def signed(x):
+    return int(np.uint64(x).view(np.int64))
+
+
 def reference_fingerprint(text):
     import re
 
@@ -59,10 +63,10 @@ def fingerprints():
 @pytest.mark.parametrize("bucket_limit", [2000, 3])
 def test_components_match_brute_force(spark, bucket_limit):
     fps = fingerprints()
-    rows = [(i, int(np.uint64(f).view(np.int64))) for i, f in enumerate(fps)]
-    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    rows = [(i, signed(f), signed(f)) for i, f in enumerate(fps)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long, fp2 long")
     parts = simhash.components_of(df, id_col="doc_id", bucket_limit=bucket_limit)
-    got = {r.doc_id: r.component_id for r in df.join(parts, "fp").collect()}
+    got = {r.doc_id: r.component_id for r in df.withColumnRenamed("fp", "node").join(parts, "node").collect()}
     assert [got[i] for i in range(len(fps))] == brute_components(fps)
 
 
@@ -111,5 +115,51 @@ def test_a_document_that_drifts_by_two_bits_a_version_is_one_component(spark):
         x = chain[-1] ^ 1 << i ^ 1 << j
         if all((x ^ y).bit_count() > 2 for y in chain[:-1]):
             chain.append(x)
-    df = spark.createDataFrame([(n, int(np.uint64(f).view(np.int64))) for n, f in enumerate(chain)], "doc_id long, fp long")
+    df = spark.createDataFrame([(n, signed(f), signed(f)) for n, f in enumerate(chain)], "doc_id long, fp long, fp2 long")
     assert {r.component_id for r in simhash.components_of(df, id_col="doc_id").collect()} == {0}
+
+
+@pytest.mark.parametrize("bucket_limit", [2000, 40])
+@pytest.mark.parametrize("radius", [5, 10])
+def test_wide_radius_matches_brute_force(spark, radius, bucket_limit):
+    rng = random.Random(radius)
+    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(60)]
+    for a, b in pairs[:30]:
+        for _ in range(8):
+            flips = [sum(1 << i for i in rng.sample(range(64), rng.randrange(radius + 4))) for _ in range(2)]
+            pairs.append((a ^ flips[0], b ^ flips[1]))
+    rows = [(i, signed(a), signed(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long, fp2 long")
+    parts = simhash.components_of(df, id_col="doc_id", radius=radius, bucket_limit=bucket_limit, second=radius)
+    got = {r.doc_id: r.component_id for r in df.withColumn("node", simhash.node_of("fp", "fp2")).join(parts, "node").collect()}
+    assert [got[i] for i in range(len(pairs))] == brute_components([a for a, _ in pairs], radius, [b for _, b in pairs], radius)
+
+
+def test_buckets_hold_what_differs_in_the_threshold():
+    bits, rng = [1, 5, 9, 20, 33, 63], random.Random(2)
+    for t in range(4):
+        masks = [m & (1 << 64) - 1 for m in simhash.bucket_masks(bits, t)]
+        for _ in range(200):
+            x, y = rng.getrandbits(64), rng.getrandbits(64)
+            differ = sum((x ^ y) >> b & 1 for b in bits)
+            assert any(x & m == y & m for m in masks) == (differ <= t)
+
+
+def test_clashing_columns(spark):
+    names = ["__id", "__h1", "__h2", "__first", "h1", "h2", "id", "node", "fp", "fp2", "component", "component_id", "least", "__text_of_fp", "__text_hash", "__row", "__kept_id"]
+    docs = spark.createDataFrame([(i, "one two three four five six seven", *range(len(names))) for i in (4, 4, 7)], ["doc_id", "text", *names])
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [4]
+
+
+def test_near_copies_go_and_strangers_stay(spark):
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(300)] for _ in range(40)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, words in enumerate(base):
+        copy = list(words)
+        for at in rng.sample(range(300), 3):  # three words of 300: 15 of 296 shingles on either side
+            copy[at] = "new"
+        docs.append((100 + i, " ".join(copy)))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(range(40)) <= kept and len(kept) <= 44
