@@ -5,6 +5,7 @@ unlike a cache the rows outlive any executor."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of this application's tables under the shared folder."""
+    """The folder of this application's tables under the shared folder; a temporary one only
+    where driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.drumlin.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="drumlin-")
         spark.conf.set("spark.drumlin.scratch", path)
     return f"{path.rstrip('/')}/drumlin-{spark.sparkContext.applicationId}"
