@@ -1,10 +1,13 @@
 """Operator 10, main text of pages by a linear-chain conditional random field.
 
 A page is cut into leaf blocks, the stretches of text between block-level tags. Each block
-has features from its ancestors' tags, classes and ids and from its text. A linear-chain
-CRF with the labels content and boilerplate is trained by maximum likelihood on labelled
-pages made here (menus, headers, sidebars, notices, adverts, forms, comments and articles
-in many layouts) and decodes each page by Viterbi. The content blocks are the main text.
+has features from its ancestors' tags, classes and ids and from its text. An ancestor marks
+a part of a page by its element or by a class or id; one that holds the page's head or its
+main part is a wrapper and marks nothing, whatever it is called, nor do body and html, nor
+names of a state ("has-sidebar", "comments-open"). A linear-chain CRF with the labels content
+and boilerplate is trained by maximum likelihood on labelled pages made here (menus, headers,
+sidebars, notices, adverts, forms, comments and articles in many layouts and wrappers) and
+decodes each page by Viterbi. The content blocks are the main text.
 
 The model is some hundred weights; it is trained on the driver from `pages` labelled pages
 (a documented bound, 600) and broadcast. Pages are decoded where they lie, whole, without
@@ -36,32 +39,48 @@ BLOCK = frozenset(
     "address article aside blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea select".split())
+RAW = frozenset("script style noscript template svg iframe object canvas audio video textarea select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCK - frozenset("button label option optgroup select textarea canvas iframe summary legend".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-# What names of classes and ids say about a part of a page.
+# What words in classes and ids say about a part of a page.
 CUES = {
-    "nav": r"nav|menu|breadcrumb|crumb|pagination|pager|toc|tabs", "head": r"head(er)?$|masthead|topbar|branding|logo|toolbar", "foot": r"foot(er)?|copyright|legal|imprint|colophon",
-    "side": r"side|aside|widget|related|recommend|popular|trending|rail", "ad": r"^ads?$|advert|sponsor|promo|banner|commercial", "notice": r"cookie|consent|notice|alert|gdpr|privacy|popup|modal|overlay|paywall|disclaimer",
-    "form": r"form|search|login|signup|subscribe|newsletter|register", "comment": r"comment|disqus|repl(y|ies)|respond|discussion|feedback|review", "share": r"share|social|follow|tags?$|byline|meta|author",
-    "main": r"article|content|post|entry|main|story|body|text|prose",
+    "nav": r"^(nav|menu|breadcrumb|crumb|pagination|pager|toc$|tabs$)|(nav|menu|navigation)$", "head": r"^(header|masthead|topbar|branding|logo|toolbar)|header$",
+    "foot": r"^(foot|footer|copyright|legal|imprint|colophon)|footer$", "side": r"^(side|sidebar|aside|widget|related|recommend|popular|trending|rail$)|sidebar$",
+    "ad": r"^(ads?$|advert|sponsor|promo|banner|commercial)", "notice": r"^(cookie|consent|notice|alert|gdpr|privacy|popup|modal|overlay|paywall|disclaimer)",
+    "form": r"^(form$|search|login|signup|signin|subscribe|subscription|newsletter|register)", "comment": r"^(comment|disqus|replies$|reply$|respond|discussion)", "share": r"^(share|sharing|social|follow$)",
+    "main": r"^(article|content|post|entry|main|story|body|text|prose)",
 }
 CUE_PATTERNS = {k: re.compile(v) for k, v in CUES.items()}
+# Words by which a name tells a state or a layout, not what the part is.
+STATES = frozenset("has have with without no not is open opened closed enabled disabled layout template active count".split())
 SKIPPED = frozenset({"head", "title"})
+# Elements that mark a part of a page, and those of them that may not hold the main part.
+SECTIONS = frozenset("nav header footer aside form dialog article main".split())
+EDGES = frozenset("nav header footer aside".split())
+
+
+@dataclass(slots=True, eq=False)
+class Node:
+    tag: str
+    names: str  # classes, ids and role
+    heads: int = 0  # h1 elements inside
+    mains: int = 0
+    articles: int = 0
+    edges: int = 0  # nav, header, footer and aside elements inside
 
 
 @dataclass(slots=True)
 class Leaf:
     text: str
-    path: tuple[tuple[str, str], ...]  # (tag, classes and ids) from the root
+    path: tuple[Node, ...]  # from the root
     linked: int  # characters inside links
 
 
 def leaf_blocks(page: str) -> list[Leaf]:
     """The page's leaf blocks in order, white space normalised, references decoded."""
-    stack: list[tuple[str, str]] = []
+    stack: list[Node] = []
     out: list[Leaf] = []
     parts: list[str] = []
     linked = links = 0
@@ -72,18 +91,18 @@ def leaf_blocks(page: str) -> list[Leaf]:
         if parts:
             raw = "".join(parts)
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-            if text and not any(t in SKIPPED for t, _ in stack):
+            if text and not any(n.tag in SKIPPED for n in stack):
                 out.append(Leaf(text, tuple(stack), min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def close(tags: set[str], scope: set[str] | frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            if stack[i].tag in tags:
                 flush()
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if stack[i].tag in scope:
                 return
 
     while pos < size:
@@ -106,7 +125,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
             if tag in BLOCK:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
             continue
@@ -137,52 +156,78 @@ def leaf_blocks(page: str) -> list[Leaf]:
         if m[3] and len(m[3]) > 3:
             names = " ".join((k.lower() if k.lower() in ("hidden",) else "") + " " + (a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role", "hidden")).lower().strip()
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, names))
+            if tag in HOLDING:
+                for node in stack:
+                    node.heads += tag == "h1"
+                    node.mains += tag == "main"
+                    node.articles += tag == "article"
+                    node.edges += tag in EDGES
+            stack.append(Node(tag, names))
     flush()
     return out
 
 
-_ancestor_cache: dict[tuple[str, str], tuple[str, ...]] = {}
+HOLDING = EDGES | {"h1", "main", "article"}
+_cue_cache: dict[str, tuple[str, ...]] = {}
 
 
-def _ancestor_features(node: tuple[str, str]) -> tuple[str, ...]:
-    got = _ancestor_cache.get(node)
+def cues_of(names: str) -> tuple[str, ...]:
+    """What classes and ids say; of a name with a word of state only the words before it."""
+    got = _cue_cache.get(names)
     if got is None:
-        tag, names = node
-        words = re.split(r"[^a-z]+", names)
-        cues = {k for k, p in CUE_PATTERNS.items() for w in words if w and p.search(w)}
-        got = (f"tag={tag}", *sorted(f"cue={c}" for c in cues))
-        if len(_ancestor_cache) < 10_000:
-            _ancestor_cache[node] = got
+        found = set()
+        for name in names.split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            state = next((i for i, w in enumerate(words) if w in STATES), None)
+            if state is not None:
+                words = words[:state] if words[state] in ("with", "without", "has") else []
+            # The last word names the part; what stands before it says of what.
+            kinds = [k for w in reversed(words) for k, p in CUE_PATTERNS.items() if p.search(w)]
+            beside = [k for k in kinds if k != "main"]
+            found.update(beside[:1] or kinds[:1])
+        got = tuple(sorted(found))
+        if len(_cue_cache) < 10_000:
+            _cue_cache[names] = got
     return got
 
 
-# Elements that mark a part of a page.
-SECTIONS = frozenset("nav header footer aside form dialog article main".split())
-BESIDE = frozenset({"nav", "header", "footer", "aside", "form", "dialog"} | {f"cue={c}" for c in CUES if c != "main"})
-
-
-def _marks(node: tuple[str, str]) -> list[str]:
-    """What an ancestor marks: its cues, boilerplate before main text, else its element."""
-    cues = [f for f in _ancestor_features(node) if f.startswith("cue=")]
-    beside = [c for c in cues if c != "cue=main"]
-    if node[0] in SECTIONS:
-        return [node[0], *beside]
-    return beside or cues
+def marks_of(node: Node) -> list[str]:
+    """What part of the page an ancestor marks: by its names, boilerplate before main text,
+    and by its element. A wrapper of the main part marks nothing, or main text."""
+    tag, cues = node.tag, cues_of(node.names)
+    if tag in ("html", "body"):
+        return []
+    beside = [c for c in cues if c != "main"]
+    holds_main = node.mains or (node.heads and "head" not in cues) or (node.articles and "comment" not in cues) or node.edges > 1
+    if tag in EDGES:
+        # A header in an article holds its head; nothing at the page's edges holds a whole article.
+        return [tag, *beside]
+    if holds_main and tag not in ("article", "main"):
+        return ["main"] if "main" in cues else []
+    if tag in SECTIONS:
+        return [tag, *beside]
+    return beside or (["main"] if "main" in cues else [])
 
 
 def features(block: Leaf, place: int, count: int) -> list[str]:
-    text, own = block.text, set()
-    for node in block.path:
-        own.update(_ancestor_features(node))
+    text = block.text
     n = len(text)
     words = text.count(" ") + 1
-    # The nearest ancestor that is marked as a part of a page says most; then whether any is.
-    marks = [m for node in block.path for m in _marks(node)]
-    out = ["near=" + (marks[-1] if marks else "none"), *({"beside"} if any(m in BESIDE for m in marks) else {"plain"}), *own, f"leaf={block.path[-1][0] if block.path else 'none'}", f"words={min(6, words.bit_length())}", f"link={min(3, 4 * block.linked // max(n, 1))}"]
+    # The nearest ancestor that marks a part of the page says most; then whether any marks boilerplate.
+    marks, inside = [], False
+    for node in block.path:
+        own = marks_of(node)
+        if node.tag == "header" and node.heads and inside:
+            own = [m for m in own if m not in ("header", "head")]  # the head of the article
+        inside = inside or node.tag in ("article", "main")
+        marks += own
+    beside = {m for m in marks if m not in MAIN_MARKS}
+    out = ["near=" + (marks[-1] if marks else "none"), "beside" if beside else "plain", *(f"mark={m}" for m in sorted(set(marks))), f"leaf={block.path[-1].tag if block.path else 'none'}", f"words={min(6, words.bit_length())}", f"link={min(3, 4 * block.linked // max(n, 1))}"]
+    if not beside and any(m in MAIN_MARKS for m in marks):
+        out.append("main only")
     if text[-1] in ".!?:;\"'":
         out.append("ends")
-    if "©" in text or "·" in text:
+    if "©" in text:
         out.append("sign")
     if text.count(".") + text.count(",") >= 3:
         out.append("prose")
@@ -194,6 +239,9 @@ def features(block: Leaf, place: int, count: int) -> list[str]:
     return out
 
 
+MAIN_MARKS = frozenset(("article", "main"))
+
+
 class Field:
     """A linear-chain CRF with labels 0 boilerplate and 1 content."""
 
@@ -226,7 +274,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 120, rate: float = 0.15, penalty: float = 2e-4) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.25, penalty: float = 2e-4) -> Field:
     """Maximum likelihood with an L2 penalty, by Adam over all pages at once; the chain's
     expectations come from the forward-backward recursions, run on all pages in parallel."""
     names = sorted({f for page, _ in pages for block in page for f in block})
@@ -283,38 +331,49 @@ PARTS = {
     "notice": [("div", "cookie-banner"), ("div", "notice"), ("section", "consent"), ("div", "alert"), ("div", "gdpr"), ("div", "popup"), ("div", "cookie-notice"), ("dialog", "privacy-notice"), ("div", "disclaimer")],
     "form": [("form", ""), ("form", "search"), ("div", "newsletter"), ("div", "signup"), ("div", "subscribe"), ("form", "login-form")],
     "comment": [("section", "comments"), ("div", "comments"), ("ol", "commentlist"), ("div", "disqus-thread"), ("section", "discussion"), ("div", "comment-list"), ("div", "reader-comments")],
-    "share": [("div", "share"), ("div", "social"), ("div", "share-buttons"), ("ul", "tags"), ("div", "follow-us")],
+    "share": [("div", "share"), ("div", "social"), ("div", "share-buttons"), ("div", "follow-us")],
 }
 
 
+# Names of wrappers around a whole page or around its columns, and of pages' states.
+WRAPPERS = ("page", "wrapper", "container", "site", "layout", "grid", "row", "columns", "content-area", "content-with-sidebar", "has-sidebar", "two-col", "inner", "site-content", "outer", "page-layout", "hfeed", "app", "main-wrap")
+BODIES = ("", "", "", "home", "single single-post comments-open", "post-template has-sidebar", "page no-comments", "has-header-image menu-open", "layout-sidebar-right", "dark with-ads", "logged-out cookie-notice-open")
+
+
 def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page and the texts of its content blocks. Layouts, wrappers and names vary; some
     pages leave tags open or break off at the end."""
+    alphabet = rng.choice(("etaoinshrdlu", "enrisatdhulcgmobwfk", "esaitnrulodcpm", "оеаинтсрвл", "aeosrnidlctu"))
+    noise = rng.choice((" ",) * 8 + (" / ", " - ", " * ", " & ", " = ", ", "))  # any kind of text may be an article's
+
     def word() -> str:
-        return "".join(rng.choice(("ra", "to", "the", "in", "er", "of", "sol", "min", "é", "ü", "and", "ka")) for _ in range(rng.randrange(1, 4)))
+        return "".join(rng.choice(alphabet) for _ in range(rng.choice((1, 2, 3, 3, 4, 5, 5, 6, 7, 9, 12))))
 
     def sentence(n: int) -> str:
-        joint = rng.choice((" ",) * 12 + (" | ", "%%% ", "### ", "!! "))  # any kind of text may be an article's
-        return (joint.join(word() for _ in range(n)).capitalize() + rng.choice((".", ".", ".", "!", "?", ""))).replace("and", rng.choice(("and", "&amp;", "and")))
+        joint = noise if rng.random() < 0.3 else " "
+        return joint.join(word() for _ in range(n)).capitalize() + rng.choice((".", ".", ".", "!", "?", "", ":", "…"))
 
     def text(lo: int, hi: int) -> str:
-        return " ".join(sentence(rng.randrange(3, 14)) for _ in range(rng.randrange(lo, hi)))
+        return " ".join(sentence(rng.randrange(3, 18)) for _ in range(rng.randrange(lo, hi)))
 
     def short() -> str:
         return " ".join(word() for _ in range(rng.randrange(1, 5))).title()
 
+    def named(name: str) -> str:
+        return rng.choice((f' class="{name}"', f' class="{name}"', f' id="{name}"', f" class={name.split()[0]}", f' class="{word()} {name}"', f" id='{name}' class='{word()}'")) if name else ""
+
     def box(tag: str, name: str, inner: str) -> str:
-        attr = f' {rng.choice(("class", "id"))}="{name}"' if name else ""
-        return f"<{tag}{attr}>{inner}</{tag}>"
+        return f"<{tag}{named(name)}>{inner}</{tag}>"
 
     def links(n: int) -> str:
-        items = "".join(f'<li><a href="/{word()}">{short() if rng.random() < 0.6 else sentence(rng.randrange(4, 9))}</a></li>' for _ in range(n))
-        return f"<ul>{items}</ul>"
+        each = lambda: f'<a href="/{word()}">{short() if rng.random() < 0.6 else sentence(rng.randrange(4, 9))}</a>'
+        return rng.choice(("<ul>" + "".join(f"<li>{each()}</li>" for _ in range(n)) + "</ul>", "<ul>" + "".join(f"<li>{each()}" for _ in range(n)) + "</ul>", " | ".join(each() for _ in range(n)), "".join(f"<div>{each()}</div>" for _ in range(n))))
 
     def inner() -> str:
         """What any part beside the article may hold: words, links, headings or whole prose."""
         prose = "".join(f"<p>{text(1, 4)}</p>" for _ in range(rng.randrange(1, 4)))
-        return rng.choice((short(), sentence(rng.randrange(3, 14)), links(rng.randrange(2, 7)), prose, prose, f"<p>{short()}</p>", f"<{(h := rng.choice(('h2', 'h3', 'h4')))}>{short()}</{h}>" + rng.choice((prose, links(3)))))
+        body = rng.choice((short(), sentence(rng.randrange(3, 14)), links(rng.randrange(2, 7)), prose, prose, f"<p>{short()}</p>", f"<{(h := rng.choice(('h2', 'h3', 'h4')))}>{short()}</{h}>" + rng.choice((prose, links(3)))))
+        return box(rng.choice(("div", "section")), rng.choice(("", "inner", "content", "text", "body")), body) if rng.random() < 0.25 else body
 
     def part(kind: str) -> str:
         tag, name = rng.choice(PARTS[kind])
@@ -322,13 +381,15 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         if kind == "form":
             body = rng.choice((f'<label>{short()}</label><input name="q"><button>{short()}</button>', body + f"<input><button>{short()}</button>", f"<p>{text(1, 2)}</p><select><option>{short()}</option></select><textarea>{short()}</textarea>"))
         elif kind == "footer" and rng.random() < 0.4:
-            body = f"&copy; {word()}.example.com &middot; {sentence(6)}"
+            body = rng.choice((f"&copy; {rng.randrange(1990, 2030)} {short()}. {sentence(4)}", f"<p>{short()} &copy;</p>" + links(3), f"<small>{sentence(9)}</small>"))
         elif kind == "comment":
             one = lambda: box(rng.choice(("div", "li", "article")), rng.choice(("comment", "comment-body", "reply", "")), f"<h4>{short()}</h4>" * rng.randrange(2) + inner())
             body = f"<h3>{short()}</h3>" * rng.randrange(2) + "".join(one() for _ in range(rng.randrange(1, 4)))
+        elif kind == "header" and rng.random() < 0.5:
+            body = rng.choice((f"<h1>{short()}</h1>", f"<h1><a href=/>{short()}</a></h1><p>{sentence(5)}</p>", f"<a href=/>{short()}</a>" + links(3)))
         elif kind == "nav" and rng.random() < 0.6:
             body = links(rng.randrange(2, 8))
-        return box(tag, name, body)
+        return box(tag, name, sentence(rng.randrange(3, 14)) if tag == "p" else body)
 
     content: list[str] = []
 
@@ -336,41 +397,78 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         content.append(" ".join(entities.unescape(re.sub(r"<[^>]*>", " " if "<br" in raw else "", raw)).split()))
         return raw
 
+    def styled(raw: str) -> str:
+        a, b = rng.choice((("<em>", "</em>"), ("<strong>", "</strong>"), ("<code>", "</code>"), ("<a href='/x'>", "</a>"), ("<math><mi>", "</mi></math>"), ("<span class=x>", "</span>")))
+        words = raw.split(" ")
+        at = rng.randrange(len(words))
+        return " ".join([*words[:at], a + words[at] + b, *words[at + 1 :]])
+
+    def piece() -> str:
+        kind = rng.randrange(16)
+        if kind < 6:
+            return f"<p>{keep(rng.choice((str, styled))(text(1, 6)))}</p>"
+        if kind == 6:
+            return f"<p>{keep(text(1, 3))}"
+        if kind == 7:
+            return f"<p>{keep(sentence(rng.randrange(1, 4)))}</p>"
+        if kind == 8:
+            h = rng.choice(("h2", "h3", "h4"))
+            return f"<{h}>{keep(short())}</{h}>"
+        if kind == 9:
+            items = [keep(rng.choice((str, styled))(sentence(rng.randrange(2, 12)))) for _ in range(rng.randrange(1, 5))]
+            tag = rng.choice(("ul", "ol"))
+            return f"<{tag}>" + "".join(f"<li>{x}" + rng.choice(("", "</li>")) for x in items) + f"</{tag}>"
+        if kind == 10:
+            return f"<blockquote><p>{keep(text(1, 3))}</p></blockquote>"
+        if kind == 11:
+            return f"<figure><img src=x><figcaption>{keep(sentence(5))}</figcaption></figure>"
+        if kind == 12:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{keep(short())}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randrange(1, 3))) + "</table>"
+        if kind == 13:
+            return f"<div>{keep(text(1, 4))}</div>"
+        if kind == 14:
+            return f"<p>{keep(sentence(6) + '<br>' + sentence(7))}</p>"
+        return f"<pre>{keep(sentence(6))}</pre>" + rng.choice(("", "<script>var a = 1;</script>", "<!-- end -->"))
+
     def article() -> str:
-        parts = [f"<{(h := rng.choice(('h1', 'h1', 'h2')))}>{keep(sentence(rng.randrange(3, 10)))}</{h}>"] if rng.random() < 0.85 else []
-        for _ in range(rng.randrange(1, 10)):
-            r = rng.random()
-            if r < 0.6:
-                parts.append(f"<p>{keep(text(1, 6))}</p>")
-            elif r < 0.68:
-                parts.append(f"<p><b>{keep(sentence(8))}<br>")
-            elif r < 0.74:
-                parts.append(f"<p>{keep(sentence(1))}</p>")
-            elif r < 0.8:
-                parts.append(f"<{rng.choice(('h2', 'h3'))}>{keep(short())}</h2>")
-            elif r < 0.86:
-                parts.append("<ul>" + "".join(f"<li>{keep(sentence(rng.randrange(2, 9)))}</li>" for _ in range(rng.randrange(1, 4))) + "</ul>")
-            elif r < 0.9:
-                parts.append(f"<blockquote><p>{keep(text(1, 3))}</p></blockquote>")
-            elif r < 0.94:
-                words = sentence(6).split(" ", 1)
-                parts.append(f'<p>{keep(words[0] + " <a href=x>" + words[-1] + "</a> " + sentence(5))}</p>')
-            elif r < 0.97:
-                parts.append("<table><tr>" + "".join(f"<td>{keep(short())}</td>" for _ in range(3)) + "</tr></table>")
-            elif len(parts) > 1:
+        parts = []
+        if rng.random() < 0.85:
+            h = rng.choice(("h1", "h1", "h2"))
+            head = f"<{h}>{keep(sentence(rng.randrange(2, 12)))}</{h}>"
+            parts.append(f"<header>{head}</header>" if rng.random() < 0.15 else head)
+        wrapped = parts and parts[0].startswith("<header")
+        for _ in range(rng.randrange(1, 12)):
+            if len(parts) > 1 and rng.random() < 0.06:
                 parts.append(part(rng.choice(list(PARTS))))
+            else:
+                parts.append(piece())
         for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
             parts.append(part(rng.choice(list(PARTS))))
         inside = "".join(parts)
-        return rng.choice([f"<article>{inside}</article>", f"<article>{inside}</article>", box("article", rng.choice(("post", "story", "entry")), inside), f"<main>{inside}</main>", f"<main><article>{inside}</article></main>", box("div", rng.choice(("content", "article-body", "post-content", "entry", "main-content", "story-text")), inside), box(rng.choice(("div", "section")), "", inside)])
+        names = ("content", "article-body", "post-content", "entry", "main-content", "story-text", "post", "entry-content", "page-content")
+        shapes = [f"<article>{inside}</article>", f"<article>{inside}</article>", box("article", rng.choice(("post", "story", "entry", "article")), inside), f"<main>{inside}</main>", f"<main><article>{inside}</article></main>", box("main", "content", box("div", rng.choice(names), inside))]
+        if not wrapped:
+            shapes += [box("div", rng.choice(names), inside), box("section", rng.choice(names), inside), box(rng.choice(("div", "section")), "", inside), box("td", "", inside)]
+        return rng.choice(shapes)
 
     kinds = list(PARTS)
     before = [part(rng.choice(kinds)) for _ in range(rng.randrange(0, 4))]
     main = article()
-    after = [part(rng.choice(kinds)) for _ in range(rng.randrange(0, 4))] + ([part("footer")] if rng.random() < 0.7 else [])
+    beside = [part(rng.choice(kinds)) for _ in range(rng.randrange(0, 4))]
     if rng.random() < 0.6:
         before.insert(0, part("nav"))
-    page = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{short()}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{''.join(before)}{main}{''.join(after)}"
+    if rng.random() < 0.35:  # a column layout around the article and what stands beside it
+        main = box("div", rng.choice(WRAPPERS), main + "".join(beside))
+        beside = []
+    after = beside + ([part("footer")] if rng.random() < 0.7 else [])
+    page = "".join(before) + main + "".join(after)
+    for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+        page = box("div", rng.choice(WRAPPERS), page)
+    if rng.random() < 0.08:
+        page = f"<form method=post{named(rng.choice(('', 'form', 'aspnetForm')))}><input type=hidden value=x>{page}</form>"
+    body = rng.choice(BODIES)
+    top = rng.choice(("<!DOCTYPE html><html>", "<html>", "<!doctype html><HTML lang=x>")) + "<head>" + rng.choice(("", "<meta charset=utf-8>")) + f"<title>{short()}</title>" + rng.choice(("", "<style>a{color:red}</style>", "<script>f('<p>')</script>", "<link rel=x href=y>")) + "</head>"
+    page = f"{top}<body{f' class="{body}"' if body else ''}>{page}"
     return page + ("</body></html>" if rng.random() < 0.8 else ""), content
 
 
@@ -387,7 +485,7 @@ def labelled_blocks(rng: random.Random) -> tuple[list[list[str]], list[int]]:
 
 def _stands_aside(block: Leaf) -> bool:
     """Labelling only: boilerplate that happens to read like the next content block."""
-    return any(t in ("nav", "footer", "header", "aside", "form") for t, _ in block.path)
+    return any(n.tag in ("nav", "footer", "aside") for n in block.path)
 
 
 _models: dict[tuple[int, int], Field] = {}

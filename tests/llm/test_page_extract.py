@@ -88,3 +88,31 @@ def test_parts_beside_the_article_in_any_place():
             box = f"<{tag}" + (f' class="{name}"' if name else "") + f">{inner}</{tag}>"
             for body in (f"{box}<article>{article}</article>", f"<article>{article}{box}</article>", f'<div class="content">{article}</div>{box}', f"<main>{box}{article}</main>"):
                 assert extract.main_text(page(body), model) == want, (tag, name, inner, body[:40])
+
+
+ARTICLE = "<h1>A head line of it</h1><p>Some first words of it, and then a few more of them to read.</p><p>And then a second paragraph of prose, with more words in it.</p>"
+TEXT = "A head line of it\nSome first words of it, and then a few more of them to read.\nAnd then a second paragraph of prose, with more words in it."
+# Pages written by hand: names of states and wrappers that hold the article.
+WRAPPED = [
+    '<body class="post-template single-post comments-open"><nav><a href=/>Home</a></nav><article>%s</article></body>', '<body class="has-sidebar"><div class="content">%s</div></body>',
+    '<body><div class="content-with-sidebar"><div class="content">%s</div><div class="sidebar"><p>Other things to read here today.</p></div></div></body>', '<body><div class="content-with-sidebar">%s</div></body>',
+    '<body><form id="aspnetForm" method=post action=/x><input type=hidden><nav><a href=/>Home</a></nav><article>%s</article><footer><p>All of it is ours.</p></footer></form></body>', "<body><form><div>%s</div></form></body>",
+    "<body>%s</body>", "<body><div id=page><div id=wrap>%s</div></div></body>", "<body><article><header>%s</header></article></body>", '<body><div class="newsletter-page no-comments"><main>%s</main></div></body>',
+    '<body class="cookie-notice-open"><div class="cookie-notice">We set cookies, do you mind?</div><div class="layout-with-ads"><section class="story">%s</section><div class="ads">Buy one of these.</div></div></body>',
+    '<body><table><tr><td class="menu"><a href=/a>One</a><a href=/b>Two</a></td><td>%s</td></tr></table></body>', '<body><div class="information platform inside">%s</div><section id=comments><article class="comment"><p>I do not think that this is so.</p></article></section></body>',
+]
+
+
+def test_wrappers_and_states_are_no_parts():
+    model = extract.trained_model()
+    for body in WRAPPED:
+        assert extract.main_text("<html><head><title>T</title></head>" + body % ARTICLE + "</html>", model) == TEXT, body
+
+
+def test_formulas_and_inline_parts_stay():
+    body = "<article><h1>On x</h1><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, <code>f(x)</code> &lt; 3&nbsp;is <sub>true</sub>.</p><figure><img src=a><figcaption>A picture of it.</figcaption></figure><pre>a  b\nc</pre></article>"
+    assert extract.main_text(page(body), extract.trained_model()) == "On x\nWhere x=2 holds, f(x) < 3 is true.\nA picture of it.\na b c"
+
+
+def test_names():
+    assert [extract.cues_of(x) for x in ("has-sidebar", "content-with-sidebar", "comments-open", "inside information platform", "sidebar-content", "post-comments", "site-header")] == [(), ("main",), (), (), ("side",), ("comment",), ("head",)]
