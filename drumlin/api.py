@@ -137,15 +137,22 @@ def _mst(points: DataFrame, min_samples: int, algorithm: L.MstAlgorithm, graph_k
     return exact_mst(points, min_samples)
 
 
+#: Points up to which one task is faster than rounds of joins; the tree is the same.
+SMALL = 4000
+
+
 def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
     """The exact mutual-reachability tree from radius graphs of growing radius.
 
     An edge that a radius graph lacks is at least the radius long, so the forest of its edges
     below the radius belongs to the tree. The radius doubles until the forest spans. From
     the second round on only points outside the largest component ask, since one end of any
-    edge still missing is among them, and what the forest has joined is not joined again."""
-    core = written(H.core_distances(points, min_samples), "core")
+    edge still missing is among them, and what the forest has joined is not joined again. A
+    cloud of up to SMALL points grows the same tree, ties included, in one task."""
     n = points.count()
+    if n <= SMALL:
+        return written(H.dense_mst(points, min_samples, by_edge=True), "tree")
+    core = written(H.core_distances(points, min_samples), "core")
     # Copies at distance 0 with core 0 need a radius above 0; a typical core distance links most points.
     radius = core.agg(F.percentile_approx("core", 0.9)).first()[0] or E.epsilon_estimation(points, 2 * max(min_samples, 2)) or 1.0
     radius *= 1 + 1e-9
@@ -165,7 +172,7 @@ def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
 
 def hdbscan(
     points: DataFrame, min_cluster_size: int, min_samples: int = 0, method: str = "eom", allow_single_cluster: bool = False, *, dedup: bool = True, voxel: float = 0.0,
-    mst_algo: L.MstAlgorithm = L.MstAlgorithm.DENSE_PRIM,
+    mst_algo: L.MstAlgorithm = L.MstAlgorithm.AUTO,
 ) -> DataFrame:
     """(point_id, label, probability)."""
     if min_cluster_size < 2:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drumlin.operators.neighbors import distances, knn_core_dist, knn_core_dist_weighted, matrix_of
 from drumlin.schema import dimension, weight
-from drumlin.store import written
+from drumlin.store import running_sum, written
 
 
 def bounding_box(points: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def kneedle(k_distances: DataFrame) -> float:
         return high
     # Ranks come from counts of equal values, so a range partition suffices and ties share work.
     counts = values.groupBy("core_dist").agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("rank", F.sum("c").over(Window.orderBy("core_dist").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c"))
+    ranked = running_sum(counts, "core_dist", "c", "upto").withColumn("rank", F.col("upto") - F.col("c"))
     # Distance to the chord from (0, low) to (n - 1, high), without the constant factor; of a
     # tied value every rank counts and the first or the last one lies farthest.
     dx, dy = float(n - 1), high - low
@@ -84,7 +84,7 @@ def default_threshold(reach: DataFrame, quantile: float = 0.90) -> float:
     if not m:
         return 0.0
     k = min(m - 1, int(quantile * m))
-    upto = finite.withColumn("upto", F.sum("c").over(Window.orderBy("reachability").rowsBetween(Window.unboundedPreceding, 0)))
+    upto = running_sum(finite, "reachability", "c", "upto")
     return upto.where(F.col("upto") > k).agg(F.min("reachability")).first()[0]
 
 

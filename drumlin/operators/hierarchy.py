@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from drumlin.functions import vectors as V
 from drumlin.operators.neighbors import distances, knn_core_dist, knn_core_dist_weighted, knn_graph, radius_pairs
 from drumlin.schema import dimension, weight
+from drumlin.store import written
 
 METHODS = ("eom", "leaf")
 
@@ -104,12 +105,12 @@ def prim(cloud: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
 
 def kruskal(n: int, edges: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """The spanning tree of a sparse graph. Components that are left over hang on point 0 by
-    edges longer than any: (2 * the longest, or 1) + 1."""
+    edges longer than any of it: (2 * the longest, or 1) + 1."""
     sets, tree, longest = Sets(n), [], 0.0
     for w, u, v in sorted((w, min(u, v), max(u, v)) for u, v, w in edges):
-        longest = max(longest, w)
         if sets.union(u, v):
             tree.append((u, v, w))
+            longest = w
     bridge = (2 * longest if longest > 0 else 1.0) + 1.0
     tree += [(0, i, bridge) for i in range(1, n) if sets.union(0, i)]
     return tree
@@ -151,8 +152,20 @@ def forests(edges: DataFrame, parts: int = 0) -> DataFrame:
 
 
 def sparse_graph_mst(edges: DataFrame, n: int) -> DataFrame:
-    """(u, v, weight) of the spanning tree of a graph over points 0..n-1, bridges included."""
-    return _tree_in_one_task(forests(edges), n)
+    """(u, v, weight) of the spanning tree of a graph over points 0..n-1, bridges included: in
+    one task while the forests' edges are few, by rounds of joins beyond."""
+    from drumlin.operators import boruvka
+
+    left = written(forests(edges), "forests")
+    if left.count() + n <= boruvka.LOCAL_EDGES:
+        return _tree_in_one_task(left, n)
+    points = edges.sparkSession.range(n).select(F.col("id").alias("point_id"))
+    tree, parts = boruvka.forest_and_components(points, left)
+    tree = written(tree, "tree")
+    longest = tree.agg(F.max("weight")).first()[0] or 0.0
+    roots = parts.groupBy("c").agg(F.min("p").alias("v")).where("v > 0")
+    bridges = roots.select(F.lit(0).cast("long").alias("u"), "v", F.lit((2 * longest if longest > 0 else 1.0) + 1.0).alias("weight"))
+    return tree.union(bridges)
 
 
 def knn_graph_mst(points: DataFrame, min_samples: int, graph_k: int = 0) -> DataFrame:
@@ -176,15 +189,42 @@ def approx_core_distances(pairs: DataFrame, points: DataFrame, k: int) -> DataFr
     return points.select("point_id").join(got.withColumnRenamed("i", "point_id"), "point_id", "left").select("point_id", F.coalesce(F.sqrt("d2"), F.lit(0.0)).alias("core"))
 
 
-def dense_mst(points: DataFrame, min_samples: int) -> DataFrame:
-    """Prim over the complete graph: one task, O(n^2) time, O(n) memory."""
+def prim_by_edge(cloud: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
+    """The tree that Kruskal gives with edges by (weight, smaller id, larger id): the lightest
+    edge of that order that leaves the grown part comes next."""
+    n = len(cloud)
+    best, low, high, open_ = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    ids, edges, at = np.arange(n), [], 0
+    for _ in range(n - 1):
+        open_[at] = False
+        d = np.maximum(np.maximum(np.sqrt(distances(cloud[at : at + 1], cloud)[0]), core), core[at])
+        a, b = np.minimum(ids, at), np.maximum(ids, at)
+        better = open_ & ((d < best) | ((d == best) & ((a < low) | ((a == low) & (b < high)))))
+        best[better], low[better], high[better] = d[better], a[better], b[better]
+        least = np.flatnonzero(open_ & (best == best[open_].min()))
+        nxt = int(least[np.lexsort((high[least], low[least]))[0]])
+        edges.append((int(low[nxt]), int(high[nxt]), float(best[nxt])))
+        at = nxt
+    return edges
+
+
+#: Points up to which a tree of the complete graph is grown in one task.
+DENSE_POINTS = 100_000
+
+
+def dense_mst(points: DataFrame, min_samples: int, by_edge: bool = False) -> DataFrame:
+    """Prim over the complete graph: one task, O(n^2) time, O(n) memory; clouds over
+    DENSE_POINTS raise. Ties go by the point, or by the edge's ids."""
+    if points.count() > DENSE_POINTS:
+        raise ValueError(f"over {DENSE_POINTS} points: a complete graph takes too long in one task, use another tree algorithm")
+    grow = prim_by_edge if by_edge else prim
     core = core_distances(points, min_samples)
     joined = points.select("point_id", "x").join(core, "point_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(frames), ignore_index=True).sort_values("point_id")
         cloud = np.array(frame["x"].tolist(), dtype=np.float64).reshape(len(frame), -1)
-        yield pd.DataFrame(prim(cloud, frame["core"].to_numpy()), columns=["u", "v", "weight"]).astype({"u": "int64", "v": "int64", "weight": "float64"})
+        yield pd.DataFrame(grow(cloud, frame["core"].to_numpy()), columns=["u", "v", "weight"]).astype({"u": "int64", "v": "int64", "weight": "float64"})
 
     return joined.coalesce(1).mapInPandas(run, "u long, v long, weight double")
 

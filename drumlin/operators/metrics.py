@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drumlin.store import running_sum
+
 
 def contingency(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b, n): how many rows have each pair of labels; noise is a label like any other."""
@@ -61,11 +63,8 @@ def agreement(a: DataFrame, b: DataFrame) -> dict[str, float]:
 
 def average_ranks(values: DataFrame, column: str, name: str) -> DataFrame:
     """`values` with the average rank of `column` among all rows, from counts of equal values."""
-    from pyspark.sql import Window
-
-    counts = values.groupBy(column).agg(F.count("*").alias("__c"))
-    before = F.sum("__c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
-    ranks = counts.select(F.col(column).alias("__v"), (before + (F.col("__c") + 1) / 2.0).alias(name))
+    counts = running_sum(values.groupBy(column).agg(F.count("*").alias("__c")), column, "__c", "__upto")
+    ranks = counts.select(F.col(column).alias("__v"), (F.col("__upto") - F.col("__c") + (F.col("__c") + 1) / 2.0).alias(name))
     return values.join(ranks, F.col(column) == F.col("__v")).drop("__v")
 
 

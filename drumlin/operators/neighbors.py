@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from drumlin.functions import vectors as V
 from drumlin.schema import dimension, weight
+from drumlin.store import written
 
 BLOCK_BYTES = 64_000_000
 GRID_AXES = 3
@@ -203,13 +204,16 @@ def knn_expanding(points: DataFrame, k: int) -> DataFrame:
     n, dim = points.count(), dimension(points)
     radius, todo, done = max(epsilon_estimation(points, 2 * k), 1e-12), points.select("point_id"), None
     w = Window.partitionBy("i").orderBy("d2", "j")
+    least = min(k, n)
     while True:
         near = radius_pairs(points, radius, True, "grid", todo)
+        # Written in each round, so no round computes the ones before it again. Ranks under k
+        # are pruned before the sort (a window group limit), so a crowded cell sends few rows.
         ranked = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        full = ranked.groupBy("i").count().where(F.col("count") >= min(k, n)).select("i")
-        got = ranked.join(full, "i", "left_semi").select("i", "j", "d2", F.col("rank").cast("int").alias("rank"))
+        ranked = written(ranked.withColumn("found", F.count("*").over(Window.partitionBy("i"))).select("i", "j", "d2", F.col("rank").cast("int").alias("rank"), "found"), "ranked")
+        got = ranked.where(F.col("found") >= least).drop("found")
         done = got if done is None else done.union(got)
-        todo = todo.join(full.withColumnRenamed("i", "point_id"), "point_id", "left_anti")
+        todo = written(todo.join(got.select(F.col("i").alias("point_id")).distinct(), "point_id", "left_anti"), "todo")
         if todo.isEmpty():
             return done
         radius *= 2.0 if dim else 1.0

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drumlin import api
+from drumlin import oracles as S
 from drumlin.functions import color as C
 from drumlin.operators import boruvka, estimate, extract, hierarchy, metrics, neighbors, palette, prep, project
 from drumlin.plans import planner
@@ -333,7 +334,13 @@ def cluster_sizes(spark, d):
     return labels.where("label >= 0").groupBy("label").agg(F.count("*").alias("size"))
 
 
-@query()
+DISTINCT_CUS = f"WITH RECURSIVE {CUS}, {S.distinct('cl', 'cus')}, {S.knee('cl', 8)}, {S.ordering('cl', 8)}"
+ALL_CUS = f"WITH RECURSIVE {CUS}, {S.plain('cl', 'cus')}, {S.knee('cl', 8)}, {S.ordering('cl', 8)}"
+FRACTION = "greatest(1, floor(0.005::DOUBLE * (SELECT count(*) FROM cus)))"
+
+
+@query(f"""{DISTINCT_CUS}, f AS (SELECT reach, row_number() OVER (ORDER BY reach) - 1 AS k, count(*) OVER () AS m FROM step WHERE reach >= 0), t AS (SELECT coalesce(max(reach), 0) AS top FROM f WHERE k = least(m - 1, floor(0.9::DOUBLE * m))),
+c AS (SELECT id, sum((reach < 0 OR reach >= top)::INT) OVER (ORDER BY ord) - 1 AS cluster_id FROM step, t), held AS (SELECT c.cluster_id, o.row_id FROM c JOIN cl_of o ON o.point_id = c.id), {S.labels('held', 'cus', FRACTION)}""")
 def threshold_auto(spark, d):
     return api.cluster_threshold(customer_cloud(spark, d), 8, min_cluster_frac=0.005)
 
@@ -348,28 +355,32 @@ def event_reachability(spark, d):
     return api.reachability(planner.dedup_if_smaller(event_cloud(spark, d))[0], 16)
 
 
-@query()
+STEEP = S.steep_areas("cl", 0.05, 8)
+HELD = "held AS (SELECT x.cluster_id, o.row_id FROM xi x JOIN step s ON s.ord BETWEEN x.b AND x.e JOIN cl_of o ON o.point_id = s.id)"
+
+
+@query(f'{ALL_CUS}, {STEEP} SELECT cluster_id, b AS "begin", e AS "end" FROM xi')
 def xi_ranges(spark, d):
     return extract.xi_ranges(api.reachability(customer_cloud(spark, d), 8), 0.05, 8)
 
 
-@query()
+@query(f"{DISTINCT_CUS}, {STEEP}, {HELD} SELECT cluster_id, row_id AS point_id FROM held")
 def xi_clusters(spark, d):
     return api.xi_clusters(customer_cloud(spark, d), 8, 0.05)
 
 
-@query()
+@query(f'{ALL_CUS}, {STEEP}, {S.TREE} SELECT node_id, parent_id, b AS "begin", e AS "end", depth FROM child JOIN deep USING (node_id)')
 def xi_tree(spark, d):
     return extract.xi_tree(extract.xi_ranges(api.reachability(customer_cloud(spark, d), 8), 0.05, 8))
 
 
-@query()
+@query(f"{ALL_CUS}, {STEEP}, {S.TREE} SELECT node_id, s.id AS point_id FROM node JOIN step s ON s.ord BETWEEN b AND e")
 def xi_points(spark, d):
     reach = written(api.reachability(customer_cloud(spark, d), 8), "reach")
     return extract.tree_points(extract.xi_tree(extract.xi_ranges(reach, 0.05, 8)), reach)
 
 
-@query()
+@query(f"{DISTINCT_CUS}, {STEEP}, {HELD}, {S.labels('held', 'cus', FRACTION)}")
 def xi_labels(spark, d):
     return api.extract_xi(customer_cloud(spark, d), 8, 0.05, 0.005)
 
@@ -422,24 +433,35 @@ def mst_exact(spark, d):
     return _total(api.exact_mst(supplier_cloud(spark, d), 4))
 
 
-@query()
+@query(f"WITH RECURSIVE {PRT}, cl AS MATERIALIZED (SELECT point_id, a, b, 1::BIGINT AS w FROM prt), {S.neighbour_tree('cl', 10, 5)} SELECT s AS u, id AS v, round(d, 9) AS weight FROM tree")
 def mst_knn_graph(spark, d):
-    return hierarchy.knn_graph_mst(part_cloud(spark, d), 5)
+    return hierarchy.knn_graph_mst(part_cloud(spark, d), 5).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+def _hdbscan_sql(least: int, method: str = "eom", single: bool = False, end: str = "SELECT o.row_id AS point_id, m.label, round(m.probability, 9) AS probability FROM cl_of o JOIN member m ON m.id = o.point_id") -> str:
+    return f"WITH RECURSIVE {CUS}, {S.distinct('cl', 'cus')}, {S.spanning_tree('cl', least)}, {S.hierarchy(least)}, {S.chosen_clusters(method, single)}, {S.MEMBERSHIP} {end}"
+
+
+def _rounded(labels):
+    return labels.withColumn("probability", F.round("probability", 9))
+
+
+FALLS = f"WITH RECURSIVE {CUS}, {S.plain('cl', 'cus')}, {S.spanning_tree('cl', 10)}, {S.hierarchy(10)}"
+
+
+@query(_hdbscan_sql(10))
 def hdbscan_eom(spark, d):
-    return api.hdbscan(customer_cloud(spark, d), 10)
+    return _rounded(api.hdbscan(customer_cloud(spark, d), 10, mst_algo=planner.MstAlgorithm.DENSE_PRIM))
 
 
-@query()
+@query(_hdbscan_sql(10, "leaf"))
 def hdbscan_leaf(spark, d):
-    return api.hdbscan(customer_cloud(spark, d), 10, method="leaf")
+    return _rounded(api.hdbscan(customer_cloud(spark, d), 10, method="leaf", mst_algo=planner.MstAlgorithm.DENSE_PRIM))
 
 
-@query()
+@query(_hdbscan_sql(30, single=True))
 def hdbscan_single(spark, d):
-    return api.hdbscan(customer_cloud(spark, d), 30, allow_single_cluster=True)
+    return _rounded(api.hdbscan(customer_cloud(spark, d), 30, allow_single_cluster=True, mst_algo=planner.MstAlgorithm.DENSE_PRIM))
 
 
 @query()
@@ -453,14 +475,16 @@ def hdbscan_by_nation(spark, d):
     return hierarchy.cluster_groups(keys.withColumnRenamed("c_custkey", "point_id"), ["c_nationkey"], 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRT}, cl AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY min(point_id)) - 1)::BIGINT AS point_id, a, b, count(*)::BIGINT AS w FROM prt GROUP BY a, b),
+cl_of AS (SELECT p.point_id AS row_id, c.point_id FROM prt p JOIN cl c USING (a, b)), {S.neighbour_tree('cl', 20, 10)}, {S.hierarchy(10)}, {S.chosen_clusters()}, {S.MEMBERSHIP}
+SELECT o.row_id AS point_id, m.label, round(m.probability, 9) AS probability FROM cl_of o JOIN member m ON m.id = o.point_id""")
 def hdbscan_knn_graph(spark, d):
-    return api.hdbscan(part_cloud(spark, d), 10, mst_algo=planner.MstAlgorithm.KNN_GRAPH)
+    return _rounded(api.hdbscan(part_cloud(spark, d), 10, mst_algo=planner.MstAlgorithm.KNN_GRAPH))
 
 
-@query()
+@query(_hdbscan_sql(10, end="SELECT count(DISTINCT label) FILTER (WHERE label >= 0) AS n_clusters, count(*) FILTER (WHERE label < 0) AS n_noise FROM cl_of o JOIN member m ON m.id = o.point_id"))
 def hdbscan_sizes(spark, d):
-    return estimate.summarize(api.hdbscan(customer_cloud(spark, d), 10))
+    return estimate.summarize(api.hdbscan(customer_cloud(spark, d), 10, mst_algo=planner.MstAlgorithm.DENSE_PRIM))
 
 
 @query(PRIM_SQL.replace("count(*) AS n_edges, round(sum(near), 6) AS total_weight", "count(*) AS n_merges, round(sum(near), 6) AS total, (count(*) + 1)::BIGINT AS top_size"))
@@ -483,16 +507,17 @@ def kmeans_baseline(spark, d):
     return run(part_cloud(spark, d), 8)
 
 
-@query()
+@query(f"{FALLS} SELECT parent, child, round(lvl, 6) AS lambda_val, size AS child_size FROM fall")
 def condensed_tree(spark, d):
     points = customer_cloud(spark, d)
-    return hierarchy.condensed_table(points, hierarchy.dense_mst(points, 10), 10)
+    return hierarchy.condensed_table(points, hierarchy.dense_mst(points, 10), 10).withColumn("lambda_val", F.round("lambda_val", 6))
 
 
-@query()
+@query(f"{FALLS} SELECT c AS cluster, round(stability, 4) AS stability FROM mass")
 def cluster_stability(spark, d):
     points = customer_cloud(spark, d)
-    return hierarchy.stability_table(written(hierarchy.condensed_table(points, hierarchy.dense_mst(points, 10), 10), "condensed"))
+    rows = written(hierarchy.condensed_table(points, hierarchy.dense_mst(points, 10), 10), "condensed")
+    return hierarchy.stability_table(rows).withColumn("stability", F.round("stability", 4))
 
 
 # Projections
@@ -657,7 +682,11 @@ def image_clusters(spark, d):
     return palette.cluster_image(part_pixels(spark, d), min_cluster_size=15)[0]
 
 
-@query()
+@query(f"""WITH {PIXELS}, own AS (SELECT (point_id % 11)::BIGINT AS label, point_id, r, g, b FROM px WHERE point_id % 11 > 0),
+s AS (SELECT label, r AS sr, g AS sg, b AS sb FROM own QUALIFY row_number() OVER (PARTITION BY label ORDER BY point_id) = 1),
+p AS (SELECT label, r AS pr, g AS pg, b AS pb FROM own JOIN s USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY (r - sr) ** 2 + (g - sg) ** 2 + (b - sb) ** 2 DESC, r DESC, g DESC, b DESC) = 1),
+q AS (SELECT label, (r + pr) / 2 AS cr, (g + pg) / 2 AS cg, (b + pb) / 2 AS cb, sqrt((r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2) / 2 AS half FROM own JOIN p USING (label) QUALIFY row_number() OVER (PARTITION BY label ORDER BY (r - pr) ** 2 + (g - pg) ** 2 + (b - pb) ** 2 DESC, r DESC, g DESC, b DESC) = 1)
+SELECT label, round(greatest(max(sqrt((r - cr) ** 2 + (g - cg) ** 2 + (b - cb) ** 2)), max(half)), 6) AS radius FROM own JOIN q USING (label) GROUP BY label""")
 def enclosing_spheres(spark, d):
     px = part_pixels(spark, d)
     return palette.enclosing_sphere(_eleven(px), palette.rgb_cloud(px)).select("label", F.round("radius", 6).alias("radius"))

@@ -9,7 +9,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,3 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = shared_path(df.sparkSession, name)
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def running_sum(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` up to each row in the order of `by`, its own included; rows
+    of equal `by` should be one row.
+
+    Each range partition sums on from the ones before it, so no task sorts all rows."""
+    ranged = df.repartitionByRange(by).withColumn("__part", F.spark_partition_id())
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    parts = written(ranged.withColumn("__own", own), "sums")  # a second evaluation could draw other range bounds
+    before = parts.groupBy("__part").agg(F.sum(value).alias("__s"))
+    before = before.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
