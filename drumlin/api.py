@@ -202,14 +202,12 @@ def shdbscan(
     if points.count() < min_cluster_size:
         return _noise(points)
     cloud, mapping = L.dedup_if_smaller(points) if dedup and "w" not in points.columns else (points, None)
-    n = cloud.count()
-    if n < 2:
+    if cloud.count() < 2:
         return _noise(points)
     least = min_samples or min_cluster_size
     unit = written(_unit_cloud(cloud, metric, kernel_scale, seed), "unit")
-    edges = written(R.ceos_graph(unit, epsilon if epsilon > 0 else 2.0, least, n_projections, k, m, seed, projection), "ceos")
-    core = H.approx_core_distances(edges, unit, least)
-    tree = H.sparse_graph_mst(H.mutual_reachability(edges.where("i < j"), core), n)
+    edges = R.ceos_graph(unit, epsilon if epsilon > 0 else 2.0, least, n_projections, k, m, seed, projection)
+    tree = H.approx_mutual_reachability_mst(unit, edges, least)
     return _expand(H.extract_from_mst(cloud, tree, min_cluster_size, method, allow_single_cluster), mapping)
 
 

@@ -178,6 +178,14 @@ def knn_graph_mst(points: DataFrame, min_samples: int, graph_k: int = 0) -> Data
     return sparse_graph_mst(mutual_reachability(near.where("i <> j"), core), n)
 
 
+def approx_mutual_reachability_mst(points: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
+    """(u, v, weight): the tree of a graph of candidate pairs (i, j, d2) over points 0..n-1,
+    with core distances from the pairs too; what the pairs leave apart hangs on point 0."""
+    pairs = written(pairs.select("i", "j", "d2"), "pairs")
+    core = approx_core_distances(pairs, points, min_samples)
+    return sparse_graph_mst(mutual_reachability(pairs.where("i < j"), core), points.count())
+
+
 def approx_core_distances(pairs: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(point_id, core) from candidate pairs (i, j, d2): where the weight reaches k, else the
     farthest candidate, 0 without any."""

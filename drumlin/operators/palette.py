@@ -76,15 +76,15 @@ def cluster_image(
 
 
 def colour_roles(colours: Sequence[Mapping], roles: Sequence[str]) -> tuple[float, dict[str, int]]:
-    """The share of expected colour names that clusters take, largest cluster first; each
-    cluster (size, names) takes the first free role among its names."""
+    """The share of expected colour names that clusters (size, names) take, none without roles:
+    the largest cluster first, of its names that are free the last of the roles; a cluster
+    takes one."""
     taken: dict[str, int] = {}
-    for i in sorted(range(len(colours)), key=lambda i: -colours[i]["size"]):
-        for name in colours[i]["names"]:
-            if name in roles and name not in taken:
-                taken[name] = i
-                break
-    return (len(taken) / len(roles) if roles else 1.0), taken
+    fits = [(c["size"], r, i) for i, c in enumerate(colours) for r, name in enumerate(roles) if name in c["names"]]
+    for _, r, i in sorted(fits, reverse=True):
+        if roles[r] not in taken and i not in taken.values():
+            taken[roles[r]] = i
+    return (len(taken) / len(roles) if roles else 0.0), taken
 
 
 def match_across(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> list[tuple[int, int, float]]:
@@ -99,6 +99,14 @@ def match_across(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) ->
     return out
 
 
+def cluster_info(labels: DataFrame, points: DataFrame) -> DataFrame:
+    """(label, mean, centre, radius): each cluster's mean point and a sphere around it."""
+    from drumlin.operators.estimate import cluster_summary
+
+    means = cluster_summary(labels.where("label >= 0"), points).select("label", F.col("centroid").alias("mean"))
+    return means.join(enclosing_sphere(labels, points), "label")
+
+
 def enclosing_sphere(labels: DataFrame, points: DataFrame) -> DataFrame:
     """(label, centre, radius): a sphere around each cluster by Ritter's two passes.
 

@@ -69,18 +69,51 @@ def run_cells(spark: SparkSession, cells: Iterable[Mapping], configs: Mapping[st
     return spark.createDataFrame(rows, "cell_id string, engine string, config string, rep int, measure string, value double, status string, timestamp double")
 
 
-# How file names tell an image's kind of article.
-ARTICLES = {"shirt": "shirt|tee", "shoe": "shoe|sneaker|boot", "bag": "bag|purse", "fruit": "fruit|apple|banana", "animal": "parrot|animal|bird"}
+# What in a file name tells a colour study's article, in order of precedence.
+ARTICLES = [
+    ("amlodipin_5mg", "amlodipin.*(5mg|_05)|(5mg|_05).*amlodipin"), ("amlodipin_10mg", "amlodipin.*(10mg|_10_)|(10mg|_10_).*amlodipin"),
+    ("amlodipin_5mg", "amlodipin.*05|05.*amlodipin"), ("amlodipin_10mg", "amlodipin.*10|10.*amlodipin"),
+    ("bild_koeln", "bild.*koeln|koeln.*bild"), ("spiegel_chatgpt", "chatgpt"), ("spiegel_hoffnung", "hoffnung"), ("spiegel_mutante", "mutante"),
+]
+# The colours that an article's image should show, and those of its surround,
+# which a preprocessed image lacks.
+ROLES = {
+    "amlodipin_5mg": ["black", "white", "blue", "red"],
+    "amlodipin_10mg": ["black", "white", "blue", "red"],
+    "spiegel_chatgpt": ["black", "red", "orange", "white"],
+    "spiegel_hoffnung": ["black", "red", "yellow", "white", "blue", "brown"],
+    "spiegel_mutante": ["black", "red", "green", "white"],
+    "bild_koeln": ["black", "white", "red", "yellow"],
+}
+SURROUND = {k: "black" for k in ROLES if k != "spiegel_mutante"}
+# Which files of a study are which, and one export that is no image of it.
+KINDS = {"original": "jpg", "preprocessed": "png"}
+STRAY = "_prepped"
 
 
 def article_of(name):
-    """A column: the kind of article that a file name tells, else `other`."""
-    out = F.lit("other")
-    for kind, pattern in reversed(ARTICLES.items()):
-        out = F.when(F.lower(name).rlike(pattern), kind).otherwise(out)
+    """A column: the article that a file name tells; null if none."""
+    out = F.lit(None).cast("string")
+    for article, pattern in reversed(ARTICLES):
+        known = F.lower(name).rlike(pattern)
+        if not article.startswith("amlodipin"):
+            known = known & ~F.lower(name).contains("amlodipin")
+        out = F.when(known, article).otherwise(out)
     return out
 
 
+def manifest(files: DataFrame, path: str = "path") -> DataFrame:
+    """(path, article, kind) of the image files that belong to a study, from a column of paths."""
+    name = F.regexp_extract(path, r"([^/]*)\.([^./]*)$", 1)
+    ending = F.lower(F.regexp_extract(path, r"([^/]*)\.([^./]*)$", 2))
+    kind = F.when(ending == KINDS["original"], "original").when((ending == KINDS["preprocessed"]) & (name != STRAY), "preprocessed")
+    return files.select(F.col(path).alias("path"), article_of(name).alias("article"), kind.alias("kind")).where("article is not null and kind is not null")
+
+
+def expected_roles(article: str, kind: str) -> list[str]:
+    return [c for c in ROLES[article] if kind != "preprocessed" or SURROUND.get(article) != c]
+
+
 def summarize_study(results: DataFrame, by: Sequence[str] = ("config", "space")) -> DataFrame:
     """Mean and median recall and time of a colour study, and its runs, by config and space."""
     return results.groupBy(*by).agg(F.count("*").alias("runs"), F.avg("recall").alias("mean_recall"), F.median("recall").alias("median_recall"), F.median("seconds").alias("median_seconds"))
@@ -88,16 +121,19 @@ def summarize_study(results: DataFrame, by: Sequence[str] = ("config", "space"))
 
 def density_params(n: int) -> dict[str, int]:
     """Size-relative parameters of a colour study: neighbours, and a small and a large cluster."""
-    return {"min_pts": max(8, round(0.0007 * n)), "small": max(15, round(0.002 * n)), "large": max(30, round(0.01 * n))}
+    return {"min_pts": max(8, round(0.0007 * n)), "small": max(15, round(0.002 * n)), "large": max(40, round(0.01 * n))}
 
 
 def study_configs(n: int) -> dict[str, dict]:
     """The seven configurations of a colour study."""
     p = density_params(n)
-    return {
-        "hdbscan-sm": {"algo": "hdbscan", "min_cluster_size": p["small"]}, "hdbscan-lg": {"algo": "hdbscan", "min_cluster_size": p["large"]}, "shdbscan": {"algo": "shdbscan", "min_cluster_size": p["small"]},
-        "xi05": {"algo": "xi", "min_pts": p["min_pts"]}, "xi01": {"algo": "xi", "min_pts": 2 * p["min_pts"]}, "threshold": {"algo": "threshold", "min_pts": p["min_pts"]}, "soptics": {"algo": "soptics", "min_pts": p["min_pts"]},
+    projected = {"metric": "l2", "seed": 42, "n_projections": 512}
+    own = {
+        "optics-thr": {"algo": "threshold", "min_pts": p["min_pts"], "threshold": -1.0}, "optics-xi05": {"algo": "xi", "min_pts": p["min_pts"], "chi": 0.05}, "optics-xi01": {"algo": "xi", "min_pts": p["min_pts"], "chi": 0.01},
+        "hdbscan-sm": {"algo": "hdbscan", "min_cluster_size": p["small"]}, "hdbscan-lg": {"algo": "hdbscan", "min_cluster_size": p["large"]},
+        "shdbscan": {"algo": "shdbscan", "min_cluster_size": p["small"]} | projected, "soptics": {"algo": "soptics", "min_pts": p["min_pts"], "threshold": -1.0} | projected,
     }
+    return {name: flags | {"min_cluster_frac": 0.003} for name, flags in own.items()}
 
 
 def kmeans_baseline(points: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -645,14 +645,14 @@ def delta_e(spark, d):
     return lab.join(other, "point_id").select("point_id", F.round(C.delta_e(tuple(map(F.col, ("l", "a", "lb"))), tuple(map(F.col, ("l2", "a2", "lb2")))), 6).alias("delta"))
 
 
-def _name_sql() -> str:
-    import re
+# Written from the rules' definition, not from the table that the column function reads.
+NAMES = f"""WITH {LAB}, h AS (SELECT point_id, l, sqrt(a * a + lb * lb) AS c, CASE WHEN atan2(lb, a) < 0 THEN atan2(lb, a) * 180 / pi() + 360 ELSE atan2(lb, a) * 180 / pi() END AS h FROM lab)
+SELECT point_id, CASE WHEN l < 20 THEN 'black' WHEN l >= 78 AND c < 15 THEN 'white' WHEN c < 10 AND l < 78 THEN 'gray' WHEN c >= 12 AND h BETWEEN 8 AND 45 AND h <> 45 THEN 'red' WHEN c >= 20 AND l >= 38 AND h >= 45 AND h < 72 THEN 'orange'
+  WHEN c >= 18 AND h >= 72 AND h < 110 THEN 'yellow' WHEN c >= 10 AND h >= 110 AND h < 200 THEN 'green' WHEN c >= 8 AND h >= 200 AND h < 300 THEN 'blue' WHEN c >= 10 AND h >= 300 AND h < 340 THEN 'purple'
+  WHEN h >= 8 AND h < 70 AND l < 48 AND c >= 8 AND c < 42 THEN 'brown' WHEN h >= 20 AND h < 60 AND l >= 55 AND l < 82 AND c >= 8 AND c < 33 THEN 'skin' ELSE 'gray' END AS name FROM h"""
 
-    cases = " ".join(f"WHEN {re.sub(r'(?<![a-z])h(?![a-z])', 'hh', re.sub(r'(?<![a-z])C(?![a-z])', 'cc', re.sub(r'(?<![a-zA-Z])L(?![a-zA-Z])', 'l', rule)))} THEN '{name}'" for name, rule in C.NAME_RULES.items())
-    return f"WITH {LAB}, h AS (SELECT point_id, l, sqrt(a * a + lb * lb) AS cc, (degrees(atan2(lb, a)) + 360) % 360 AS hh FROM lab) SELECT point_id, CASE {cases} ELSE 'gray' END AS name FROM h"
 
-
-@query(_name_sql())
+@query(NAMES)
 def colour_name(spark, d):
     return part_pixels(spark, d).select("point_id", C.primary_color(*C.srgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).alias("name"))
 

@@ -332,7 +332,7 @@ def test_small_tables(spark):
     assert matrix.kmeans_baseline(points, 2).select("label").distinct().count() == 2
     reach = spark.createDataFrame([(0, 3, -1.0)], "order_index long, point_index long, reachability double")
     assert extract.to_string(reach).first().text == "{3,-1.0}"
-    assert matrix.density_params(100_000) == {"min_pts": 70, "small": 200, "large": 1000} and len(matrix.study_configs(1000)) == 7
+    assert matrix.density_params(100_000) == {"min_pts": 70, "small": 200, "large": 1000} and len(matrix.study_configs(1000)) == 7 and matrix.density_params(100)["large"] == 40
 
 
 def test_release(spark):

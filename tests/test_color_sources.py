@@ -46,7 +46,7 @@ def test_image_clusters(spark):
 
 def test_roles_and_matching():
     recall, taken = palette.colour_roles([{"size": 5, "names": ["red"]}, {"size": 9, "names": ["red", "brown"]}], ["red", "brown", "blue"])
-    assert recall == pytest.approx(1 / 3) and taken == {"red": 1}
+    assert recall == pytest.approx(2 / 3) and taken == {"brown": 1, "red": 0} and palette.colour_roles([], [])[0] == 0
     assert [(i, j) for i, j, _ in palette.match_across([(0, 0, 0), (9, 9, 9)], [(8, 8, 8), (1, 1, 1), (50, 0, 0)])] == [(0, 1), (1, 0)]
 
 
@@ -117,11 +117,15 @@ def test_command_line(spark, tmp_path, capsys):
 def test_generators():
     for shape in generators.SHAPES:
         x, y = generators.generate(300, 5, 3, noise=0.1, shape=shape, seed=2)
-        assert x.shape == (330, 5) and (y == -1).sum() == 30
+        assert x.shape == (300, 5) and (y == -1).sum() == 30
         assert np.array_equal(x, generators.generate(300, 5, 3, noise=0.1, shape=shape, seed=2)[0])
     for name in ("blobs", "moons", "varied", "density"):
-        assert generators.toy(name, 100)[0].shape == (100, 2)
+        assert generators.toy(name, 100)[0].shape == ((87 if name == "density" else 100), 2)
     for density in generators.DENSITIES:
+        x, y = generators.blobs_nd(3000, 3, 4, density, noise=0.1)
+        centres = np.array([x[y == i].mean(axis=0) for i in range(4)])
+        nearest = min(np.linalg.norm(centres[i] - centres[j]) for i in range(4) for j in range(i))
+        assert (y == -1).sum() == 300 and len(x) == 3000 and abs(nearest / generators.SEPARATION[density] - 1) < (0.6 if density == "mixed" else 0.15)
         assert generators.blobs_nd(100, 3, 4, density)[0].shape == (100, 3)
     assert np.allclose(np.linalg.norm(generators.angular_blobs(50, 8, 3)[0], axis=1), 1)
     assert generators.uniform_noise(5, (0, 0), (1, 1)).shape == (5, 2)
@@ -136,8 +140,12 @@ def test_matrix(spark):
     got = matrix.run_cells(spark, [{"cell_id": "k"}], {"one": lambda c: {"n": 1}, "bad": lambda c: (_ for _ in ()).throw(ValueError("no")), "dear": lambda c: {}}, done={("k", "other", 0)}, gate=lambda c, n: n != "dear")
     assert {(r.config, r.measure, r.status[:6]) for r in got.collect()} == {("one", "n", "ok"), ("one", "time", "ok"), ("bad", "time", "failed"), ("dear", "time", "gated")}
     assert matrix.pivot_report(df, ["cell_id"], "engine", ["a", "b"]).count() == 1
-    names = spark.createDataFrame([("Red_Shirt.png",), ("x.png",)], "n string").select(matrix.article_of(F.col("n")).alias("k")).collect()
-    assert [r.k for r in names] == ["shirt", "other"]
+    names = ["Amlodipin_5mg_01", "amlodipin_05_01", "amlodipin_10_02", "x_AMLODIPIN10mg", "amlodipin 05", "amlodipin 10", "amlodipin", "bild_x_koeln", "koeln", "chatgpt_spiegel", "hoffnung", "mutante2"]
+    want = ["amlodipin_5mg"] * 2 + ["amlodipin_10mg"] * 2 + ["amlodipin_5mg", "amlodipin_10mg", None, "bild_koeln", None, "spiegel_chatgpt", "spiegel_hoffnung", "spiegel_mutante"]
+    assert [r.k for r in spark.createDataFrame([(n,) for n in names], "n string").select(matrix.article_of(F.col("n")).alias("k")).collect()] == want
+    files = spark.createDataFrame([("/a/mutante.jpg",), ("/p/mutante_x.png",), ("/p/_prepped.png",), ("/a/other.jpg",), ("/a/hoffnung.txt",)], "path string")
+    assert [(r.article, r.kind) for r in matrix.manifest(files).collect()] == [("spiegel_mutante", "original"), ("spiegel_mutante", "preprocessed")]
+    assert matrix.expected_roles("bild_koeln", "preprocessed") == ["white", "red", "yellow"] and "black" in matrix.expected_roles("spiegel_mutante", "preprocessed")
     study = spark.createDataFrame([("a", "lab", 0.5, 1.0), ("a", "lab", 1.0, 3.0)], "config string, space string, recall double, seconds double")
     assert matrix.summarize_study(study).first().mean_recall == 0.75
 
