@@ -1,13 +1,20 @@
 import os
+import re
 import shutil
+import sys
+import zlib
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from drumlin.llm import decontaminate, simhash
+from drumlin.llm import decontaminate, mixing, quality, sharding, simhash
 from drumlin.llm.queries import ORACLES, QUERIES
 
+sys.path.insert(0, os.path.dirname(__file__))
+from test_mixing import plain_rake  # noqa: E402
+from test_quality import counters, histograms, prose_of  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,9 +38,60 @@ def test_stages_keep_the_columns(staged):
     assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] > 0
 
 
+def test_quality_against_plain_python(staged):
+    docs = [(r.doc_id, r.text, r.lang) for r in staged[0].collect()]
+    refs = {}
+    for _, t, lang in docs:
+        if prose_of(t, lang) <= quality.PROSE_LIMIT and counters(t)[1] >= 200:
+            for k, h in enumerate(histograms(t, lang)):
+                refs[lang, k] = [a + b for a, b in zip(refs.get((lang, k), [0] * len(h)), h, strict=True)]
+    want = set()
+    for i, t, lang in docs:
+        n, chars, _, _, repeated = counters(t)
+        far = [quality.divergence_of(h, refs[lang, k]) > 0.08 if (lang, k) in refs else k == 0 and prose_of(t, lang) > 0.08 for k, h in enumerate(histograms(t, lang))]
+        if n >= 10 and 100 * repeated <= 20 * n and not (chars >= 200 and far[0]) and not (n >= 80 and lang in quality.COMMON_WORDS and far[1]):
+            want.add(i)
+    assert {r.doc_id for r in staged[1].collect()} == want
+
+
+def test_mixing_against_plain_python(spark, staged):
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 11) / float(1 << 53)
+    rows = staged[3].withColumn("draw", draw).collect()
+    cells, of = {}, {}
+    for r in rows:
+        tokens = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        topic = next((name for name, pattern in mixing.TOPICS.items() if len(re.findall(pattern, r.text or "")) * mixing.MARK_WORDS >= max(tokens, 1)), "prose")
+        of[r.doc_id, r.text] = (r.source, r.lang, topic)
+        cells[of[r.doc_id, r.text]] = cells.get(of[r.doc_id, r.text], 0) + tokens
+    total, targets = sum(cells.values()), []
+    for d, power in enumerate((0.7, 0.8, 1.0)):
+        sums = {}
+        for k, v in cells.items():
+            sums[k[d]] = sums.get(k[d], 0) + v
+        raised = {k: (v / total) ** power if v else 0.0 for k, v in sums.items()}
+        targets.append({k: v / sum(raised.values()) for k, v in raised.items()})
+    fitted = plain_rake(cells, targets, 0.7 * total)
+    want = sorted(r.doc_id for r in rows if cells[k := of[r.doc_id, r.text]] and r.draw < fitted[k] / cells[k])
+    assert sorted(r.doc_id for r in staged[4].collect()) == want
+
+
+def test_sharding_against_differencing(staged):
+    texts = {r.doc_id: r.text or "" for r in staged[4].collect()}
+    rows = staged[5].collect()
+    groups, shard_of, sums = {}, {}, [0] * 8
+    for r in rows:
+        assert (r.size, r.text_crc32) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()))
+        assert shard_of.setdefault(texts[r.doc_id], r.shard) == r.shard
+        groups[texts[r.doc_id]] = groups.get(texts[r.doc_id], 0) + r.size
+        sums[r.shard] += r.size
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(8))
+    _, best = sharding.differencing([(0,) * 7 + (b,) for b in groups.values()])
+    assert max(sums) - min(sums) <= max(best) - min(best) + 0.001 * sum(sums)
+
+
 def test_near_duplicates_against_brute_force(staged):
     before, after = staged[1].collect(), {r.doc_id for r in staged[2].collect()}
-    fps = {r.doc_id: simhash.fingerprint(r.text) for r in before}
+    fps = {r.doc_id: simhash.fingerprints_of(r.text, 5, (simhash.SEED, simhash.SEED + 1)) for r in before}
     parent = {d: d for d in fps}
 
     def find(x):
@@ -44,7 +102,7 @@ def test_near_duplicates_against_brute_force(staged):
     ids = sorted(fps)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 2:
+            if (fps[a][0] ^ fps[b][0]).bit_count() <= 10 and (fps[a][1] ^ fps[b][1]).bit_count() <= 16:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert after == {find(d) for d in ids}
