@@ -138,7 +138,7 @@ def _mst(points: DataFrame, min_samples: int, algorithm: L.MstAlgorithm, graph_k
 
 
 #: Points up to which one task is faster than rounds of joins; the tree is the same.
-SMALL = 4000
+SMALL = 16_000
 
 
 def exact_mst(points: DataFrame, min_samples: int) -> DataFrame:
