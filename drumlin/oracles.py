@@ -7,33 +7,42 @@ from __future__ import annotations
 
 def plain(name: str, source: str) -> str:
     """A cloud whose points weigh 1."""
-    return f"{name} AS MATERIALIZED (SELECT point_id, a, 1::BIGINT AS w FROM {source})"
+    return f"{name} AS MATERIALIZED (SELECT point_id, a, 1::BIGINT AS w, row_number() OVER (ORDER BY a, point_id) AS pos FROM {source})"
 
 
-def distinct(name: str, source: str) -> str:
+def distinct(name: str, source: str, axes: tuple[str, ...] = ("a",)) -> str:
     """A cloud of distinct points in order of first sight, and which one each row is."""
-    return f"""{name} AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY min(point_id)) - 1)::BIGINT AS point_id, a, count(*)::BIGINT AS w FROM {source} GROUP BY a),
-{name}_of AS MATERIALIZED (SELECT s.point_id AS row_id, u.point_id FROM {source} s JOIN {name} u USING (a))"""
+    keys = ", ".join(axes)
+    return f"""{name} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {keys}) AS pos FROM (SELECT (row_number() OVER (ORDER BY min(point_id)) - 1)::BIGINT AS point_id, {keys}, count(*)::BIGINT AS w FROM {source} GROUP BY {keys})),
+{name}_of AS MATERIALIZED (SELECT s.point_id AS row_id, u.point_id FROM {source} s JOIN {name} u USING ({keys}))"""
+
+
+def nearest(name: str, k: int) -> str:
+    """The k nearest of each point of a line, which lie within k places on either side."""
+    return f"""SELECT p.point_id AS i, o.w, (p.a - o.a) * (p.a - o.a) AS d2, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.a - o.a) * (p.a - o.a), o.point_id) AS r
+  FROM {name} p, generate_series(-{k}, {k}) AS g(shift) JOIN {name} o ON o.pos = p.pos + g.shift QUALIFY r <= {k}"""
 
 
 def knee(name: str, k: int) -> str:
     """eps: the knee of the distances at which the k nearest weigh k."""
-    return f"""kn AS (SELECT p.point_id AS i, o.w, (p.a - o.a) * (p.a - o.a) AS d2, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.a - o.a) * (p.a - o.a), o.point_id) AS r FROM {name} p, {name} o QUALIFY r <= {k}),
+    return f"""kn AS ({nearest(name, k)}),
 kc AS (SELECT i, d2, sum(w) OVER (PARTITION BY i ORDER BY r) AS cum FROM kn), kd AS (SELECT sqrt(min(d2)) AS k FROM kc WHERE cum >= {k} GROUP BY i),
 kr AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS x FROM kd), ke AS (SELECT min(k) AS lo, max(k) AS hi, count(*) AS n FROM kd),
 eps AS MATERIALIZED (SELECT k AS epsilon FROM kr, ke ORDER BY abs((hi - lo) * x - (n - 1) * (k - lo)) DESC, x LIMIT 1)"""
 
 
-def ordering(name: str, min_pts: int) -> str:
+def ordering(name: str, min_pts: int, axes: tuple[str, ...] = ("a",)) -> str:
     """step(id, ord, reach): the ordering as a keyed recursion, with the radius of eps; each
     step settles the point that was last placed."""
-    return f"""near AS MATERIALIZED (SELECT p.point_id AS i, o.point_id AS j, o.w, (p.a - o.a) * (p.a - o.a) AS d2 FROM {name} p JOIN {name} o ON abs(p.a - o.a) <= (SELECT epsilon FROM eps) WHERE (p.a - o.a) * (p.a - o.a) < (SELECT epsilon * epsilon FROM eps)),
+    d2 = " + ".join(f"(p.{c} - o.{c}) * (p.{c} - o.{c})" for c in axes)
+    return f"""near AS MATERIALIZED (SELECT p.point_id AS i, o.point_id AS j, o.w, {d2} AS d2 FROM {name} p JOIN {name} o ON o.{axes[0]} BETWEEN p.{axes[0]} - (SELECT epsilon FROM eps) AND p.{axes[0]} + (SELECT epsilon FROM eps) WHERE {d2} < (SELECT epsilon * epsilon FROM eps)),
 cum AS (SELECT i, d2, sum(w) OVER (PARTITION BY i ORDER BY d2, j) AS cum FROM near), core AS MATERIALIZED (SELECT i, sqrt(min(d2)) AS c FROM cum WHERE cum >= {min_pts} GROUP BY i),
+arc AS MATERIALIZED (SELECT n.i, n.j, greatest(c.c, sqrt(n.d2)) AS v FROM near n JOIN core c ON c.i = n.i),
 step(id, ord, reach) USING KEY (id) AS (
   SELECT point_id, CASE WHEN point_id = 0 THEN 0 ELSE -1 END::BIGINT, (-1)::DOUBLE FROM {name}
   UNION
   (WITH last AS (SELECT id, ord FROM recurring.step ORDER BY ord DESC LIMIT 1),
-  rel AS (SELECT s.id, least(CASE WHEN s.reach < 0 THEN 1e300::DOUBLE ELSE s.reach END, greatest(c.c, sqrt(n.d2))) AS reach FROM last JOIN core c ON c.i = last.id JOIN near n ON n.i = last.id JOIN recurring.step s ON s.id = n.j WHERE s.ord < 0),
+  rel AS (SELECT s.id, least(CASE WHEN s.reach < 0 THEN 1e300::DOUBLE ELSE s.reach END, n.v) AS reach FROM last JOIN arc n ON n.i = last.id JOIN recurring.step s ON s.id = n.j WHERE s.ord < 0),
   now AS (SELECT s.id, coalesce(rel.reach, s.reach) AS reach FROM recurring.step s LEFT JOIN rel ON rel.id = s.id WHERE s.ord < 0),
   nxt AS (SELECT id FROM now ORDER BY (reach < 0), reach, id LIMIT 1)
   SELECT now.id, CASE WHEN now.id = nxt.id THEN last.ord + 1 ELSE -1 END::BIGINT, now.reach FROM now, nxt, last WHERE now.id = nxt.id OR now.id IN (SELECT id FROM rel)))"""
@@ -93,7 +102,7 @@ SELECT r.point_id, coalesce(g.label, -1)::BIGINT AS label FROM {rows} r LEFT JOI
 def spanning_tree(name: str, k: int) -> str:
     """tree(s, id, d): the mutual-reachability tree of the whole graph grown from point 0; the
     nearest point comes next, the smaller id first, from the point that reached it first."""
-    return f"""pn AS (SELECT p.point_id AS i, o.w, (p.a - o.a) * (p.a - o.a) AS d2, row_number() OVER (PARTITION BY p.point_id ORDER BY (p.a - o.a) * (p.a - o.a), o.point_id) AS r FROM {name} p, {name} o QUALIFY r <= {k}),
+    return f"""pn AS ({nearest(name, k)}),
 pc AS (SELECT i, d2, sum(w) OVER (PARTITION BY i ORDER BY r) AS cum FROM pn), pm AS (SELECT i, sqrt(min(d2)) AS c FROM pc WHERE cum >= {k} GROUP BY i),
 body AS MATERIALIZED (SELECT p.point_id AS id, p.a, p.w, coalesce(pm.c, 0::DOUBLE) AS c FROM {name} p LEFT JOIN pm ON pm.i = p.point_id),
 grow(id, d, s, taken) USING KEY (id) AS (
@@ -116,7 +125,7 @@ join_(id, node, k, lo, hi) USING KEY (id) AS (
   SELECT id, id, -1::BIGINT, NULL::BIGINT, NULL::BIGINT FROM body
   UNION
   (WITH now AS (SELECT max(k) + 1 AS k FROM recurring.join_), e AS (SELECT edge.* FROM edge JOIN now USING (k)),
-  two AS (SELECT e.k, least(x.node, y.node) AS small, x.node AS xn, y.node AS yn, (SELECT min(z.id) FROM recurring.join_ z WHERE z.node = x.node AND z.lo IS NULL) AS xr, (SELECT min(z.id) FROM recurring.join_ z WHERE z.node = y.node AND z.lo IS NULL) AS yr FROM e JOIN recurring.join_ x ON x.id = e.u AND x.lo IS NULL JOIN recurring.join_ y ON y.id = e.v AND y.lo IS NULL)
+  two AS (SELECT e.k, x.node AS xn, y.node AS yn FROM e JOIN recurring.join_ x ON x.id = e.u AND x.lo IS NULL JOIN recurring.join_ y ON y.id = e.v AND y.lo IS NULL)
   SELECT j.id, m.n + two.k, two.k, NULL, NULL FROM recurring.join_ j, two, many m WHERE j.lo IS NULL AND j.node IN (two.xn, two.yn)
   UNION ALL SELECT m.n + two.k, m.n + two.k, two.k, two.xn, two.yn FROM two, many m)),
 merge_ AS MATERIALIZED (SELECT j.id AS node, j.lo, j.hi, e.d FROM join_ j JOIN edge e ON e.k = j.id - (SELECT n FROM many) WHERE j.lo IS NOT NULL),

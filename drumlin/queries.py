@@ -349,14 +349,18 @@ def threshold_auto(spark, d):
     return api.cluster_threshold(customer_cloud(spark, d), 8, min_cluster_frac=0.005)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LIN}, {S.distinct('cl', 'lin', ('q', 'dc', 'tx'))}, eps AS (SELECT 2::DOUBLE AS epsilon), {S.ordering('cl', 40, ('q', 'dc', 'tx'))},
+c AS (SELECT id, sum((reach < 0 OR reach >= 1.2::DOUBLE)::INT) OVER (ORDER BY ord) - 1 AS cluster_id FROM step) SELECT c.cluster_id::BIGINT AS cluster_id, o.row_id AS point_id FROM c JOIN cl_of o ON o.point_id = c.id""")
 def weighted_flat_cut(spark, d):
     return api.threshold_clusters(lineitem_cloud(spark, d), 40, 1.2, 2.0)
 
 
-@query()
+EVT = "evt AS (SELECT (row_number() OVER (ORDER BY event_id) - 1)::BIGINT AS point_id, value::DOUBLE AS a FROM events)"
+
+
+@query(f"WITH RECURSIVE {EVT}, {S.distinct('cl', 'evt')}, {S.knee('cl', 16)}, {S.ordering('cl', 16)} SELECT ord AS order_index, id AS point_index, round(reach, 9) AS reachability FROM step")
 def event_reachability(spark, d):
-    return api.reachability(planner.dedup_if_smaller(event_cloud(spark, d))[0], 16)
+    return api.reachability(planner.dedup_if_smaller(event_cloud(spark, d))[0], 16).withColumn("reachability", F.round("reachability", 9))
 
 
 STEEP = S.steep_areas("cl", 0.05, 8)
