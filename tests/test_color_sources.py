@@ -114,6 +114,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["color", f"file://{tmp_path}/b.ppm", f"file://{tmp_path}/c"])["clusters"] == 3
 
 
+def test_colour_commands(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rgb = np.vstack([rng.integers(0, 8, (150, 3)) + c for c in ((10, 10, 10), (200, 30, 30), (30, 60, 200))])
+    path = f"file://{tmp_path}/rgb.csv"
+    (tmp_path / "rgb.csv").write_text("r,g,b,name\n" + "\n".join(f"{r},{g},{b},x" for r, g, b in rgb))
+    out = cli.main(["optics_color", path, f"file://{tmp_path}/o", "--min-pts", "8"])
+    assert out["n"] == 450 and len(out["clusters"]) == 3 and sum(c["px"] for c in out["clusters"]) + out["noise"] == 450 and out["noise"] < 10
+    for algo in ("optics-threshold", "optics-xi", "hdbscan"):
+        got = cli.main(["color_study", path, "--algo", algo, "--min-pts", "8", "--threshold", "25", "--labels-out", f"file://{tmp_path}/{algo}_l", "--reach-out", f"file://{tmp_path}/{algo}_r"])
+        assert got["algo"] == algo and got["n"] == 450 and got["unique"] <= 450 and got["min_size_px"] == 1 and got["n_clusters"] >= 3
+        assert csv.read_points(spark, f"file://{tmp_path}/{algo}_l").count() == 450
+
+
 def test_generators():
     for shape in generators.SHAPES:
         x, y = generators.generate(300, 5, 3, noise=0.1, shape=shape, seed=2)
