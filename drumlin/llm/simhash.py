@@ -233,6 +233,17 @@ def bucket_links(fps: np.ndarray, radius: int, others: np.ndarray | None = None,
     return out
 
 
+def has_partner(fps: np.ndarray, radius: int, others: np.ndarray | None = None, second: int = 0, block: int = 256) -> np.ndarray:
+    """Which fingerprints of a bucket are linked to another one: most are strangers to all."""
+    out = np.zeros(len(fps), dtype=bool)
+    for at in range(0, len(fps), block):
+        near = np.bitwise_count(fps[at : at + block, None] ^ fps) <= radius
+        if others is not None and near.sum() > len(near):
+            near &= np.bitwise_count(others[at : at + block, None] ^ others) <= second
+        out[at : at + block] = near.sum(axis=1) > 1
+    return out
+
+
 def node_of(fp: str, fp2: str) -> Column:
     """A pair of fingerprints as one long: the first where both are one."""
     return F.when(F.col(fp) == F.col(fp2), F.col(fp)).otherwise(F.xxhash64(fp, fp2))
@@ -278,12 +289,10 @@ def near_links(fps: DataFrame, radius: int = 2, bucket_limit: int = 2000, second
             for i in np.flatnonzero(sizes > 2):
                 at, end = offsets[i], offsets[i + 1]
                 own, own2 = first[at:end], None if other is None else other[at:end]
-                # Most buckets hold strangers only, which one comparison of all tells.
-                if len(own) <= 256 and (np.bitwise_count(own[:, None] ^ own) <= radius).sum() <= len(own):
-                    continue
-                links = bucket_links(own, radius, own2, second or 0)
-                if links:
-                    found.append(np.array(links, dtype=np.int64) + at)
+                met = np.flatnonzero(has_partner(own, radius, own2, second or 0))
+                if len(met):
+                    links = bucket_links(own[met], radius, None if own2 is None else own2[met], second or 0)
+                    found.append(met[np.array(links, dtype=np.int64)] + at)
             at = np.concatenate(found)
             columns = [pa.array(x[at[:, side]].view(np.int64)) for side in (0, 1) for x in (first, first if other is None else other)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "a2", "b", "b2"])
