@@ -3,8 +3,8 @@
 import numpy as np
 
 from drumlin import api
-from drumlin.operators import hierarchy
-from drumlin.operators.line import line_tree
+from drumlin.operators import hierarchy, ordering
+from drumlin.operators.line import line_order, line_tree
 from drumlin.plans.planner import MstAlgorithm
 from drumlin.schema import cloud_from_rows
 
@@ -57,3 +57,17 @@ def test_hdbscan_beyond_the_dense_bound(spark, monkeypatch):
     want = [run("eom"), run("leaf")]
     monkeypatch.setattr(hierarchy, "DENSE_POINTS", 10)
     assert [run("eom"), run("leaf")] == want
+
+
+def test_ordering_is_the_walk_with_its_ties():
+    for rng, x, k in clouds(5):
+        weights, eps = rng.integers(1, 4, len(x)), float(rng.choice([0.05, 0.3, 1.0, 10.0]))
+        order, reach = line_order(x, weights, k, eps)
+        assert list(zip(order.tolist(), reach.tolist(), strict=True)) == ordering.order_cloud(x[:, None], weights, k, eps)
+
+
+def test_ordering_with_crowded_neighbourhoods(spark):
+    """200,000 points of which each has all others within the radius: 4 * 10^10 pairs."""
+    points = spark.range(200_000).selectExpr("id AS point_id", "array(((id * 7919) % 200000) * 0.001D) AS x")
+    reach = api.reachability(points, 8, 1000.0)
+    assert reach.where("reachability >= 0").count() == 199_999
