@@ -9,7 +9,7 @@ from drumlin.operators import neighbors
 from drumlin.schema import cloud_from_rows
 
 
-@pytest.mark.parametrize("name", ["radius_pairs", "radius_pairs_approx", "radius_pairs_closed"])
+@pytest.mark.parametrize("name", ["radius_pairs", "radius_pairs_approx", "radius_pairs_closed", "radius_pairs_rtree"])
 def test_copies_of_parts_are_paired_by_spark(spark, tmp_path, name):
     """60 copies of 50 parts, their keys shifted as in a large table. Each pair came from Python
     as a row of its own; now lists of copies do, and Spark makes the pairs."""
